@@ -8,11 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.encode import encode_texts
+from quernstone.llm.handwritten import judge_files
 from quernstone.llm.leaks import leaked_passages
 from quernstone.llm.residue import find_residue
+from quernstone.llm.secrets import find_credentials, redact_chunks
+from quernstone.llm.splitting import split_chunks
 from quernstone.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_chunks(table(spark, folder, "chunks")).where("id is not null").select("id").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_chunks(table(spark, folder, "chunks"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_evidence(spark, folder).select("project", "path")
+
+
+def p4_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_files(table(spark, folder, "source_authority"), table(spark, folder, "chunks"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_credentials(table(spark, folder, "chunks")).select("project", "path", "line")
+
+
+def p5_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    return find_credentials(table(spark, folder, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact_chunks(table(spark, folder, "chunks"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"))
 
@@ -40,6 +71,8 @@ def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
+    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
+}
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": "select distinct id from chunks where length(content) > 6000 and id is not null",
 }
-ORACLE_SQL: dict[str, str] = {}
