@@ -244,7 +244,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     tables, weights = _tables(), 1 << np.arange(KEY_BITS)
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "kind", "core", "hashes", "bits", "keys")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "kind", "core", "shingles", "bits", "keys")}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             core = strip_frame(text)
             hashes = shingle_hashes(core)
@@ -254,13 +254,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["doc_id"].append(doc)
             out["kind"].append(label(text))
             out["core"].append(xxhash.xxh3_128_digest(" ".join(_WORD.findall(core.lower()))))
-            out["hashes"].append([int(x) - (1 << 63) for x in hashes])
+            out["shingles"].append(len(hashes))
             out["bits"].append(np.packbits(bits).view(">i8").astype(np.int64).tolist())
             out["keys"].append((bits[tables] @ weights).astype(np.int32).tolist())
-        kinds = [batch.schema.field(0).type, pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [batch.schema.field(0).type, pa.string(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [[h - (1 << 63) for h in shingle_hashes(strip_frame(t))] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["core", "hashes"])
+
+
 def find_residue(documents: DataFrame) -> DataFrame:
     """doc_id, kind, spread: the documents to leave out. kind: 'placeholder', 'filler', 'page'; spread: the label came by likeness.
 
@@ -270,34 +276,38 @@ def find_residue(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null and length(trim(text)) > 0")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    seen = cut(texts.mapInArrow(_describe, f"doc_id {kind}, kind string, core binary, hashes array<bigint>, bits array<bigint>, keys array<int>"))
-    own = seen.where("kind is not null").select("doc_id", "kind", F.lit(False).alias("spread"))
+    seen = cut(texts.mapInArrow(_describe, f"doc_id {kind}, kind string, core binary, shingles int, bits array<bigint>, keys array<int>"))
     # One representative per distinct text, so that copies make no pairs.
-    classes = seen.groupBy("core").agg(F.max(F.when(F.col("kind") != "placeholder", F.col("kind"))).alias("kind"), F.max(F.col("kind") == "placeholder").alias("placeholder"), F.first("hashes").alias("hashes"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    classes = cut(classes)
-    size = F.size("hashes")
-    # Texts that are alike have about as many shingles: the table's key holds a step of that number, the near step is tried too.
-    step = F.floor(F.log(size.cast("double")) / F.log(F.lit(1.0 / SIMILARITY))).cast("int")
-    entries = classes.where("kind is null").select("core", "hashes", "bits", step.alias("step"), F.posexplode("keys").alias("t", "key"))
-    frontier = classes.where("kind is not null").select("core", "kind", "hashes", "bits", "keys")
-    reached = None
+    spreads = F.when(F.col("kind") != "placeholder", F.col("kind"))
+    classes = cut(seen.groupBy("core").agg(F.max(spreads).alias("kind"), F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    labelled = classes.where("kind is not null").select("core", "kind")
+    # Texts that are alike have about as many shingles: a slot of a table holds a key and a step of that number, and the steps beside it are tried too.
+    step = F.floor(F.log(F.col("shingles").cast("double")) / F.log(F.lit(1.0 / SIMILARITY))).cast("int")
+    slot = F.xxhash64("table", "key", "step").alias("slot")
+    entries = classes.where("kind is null").select("core", step.alias("step"), F.posexplode("keys").alias("table", "key")).select("core", slot)
+    signatures = classes.select("core", "bits")
+    frontier = labelled
     while True:
-        probes = frontier.select(F.col("core").alias("from_core"), F.col("kind").alias("from_kind"), F.col("hashes").alias("from_hashes"), F.col("bits").alias("from_bits"), step.alias("s0"), F.posexplode("keys").alias("t", "key"))
-        probes = probes.withColumn("step", F.explode(F.array(F.col("s0") - 1, F.col("s0"), F.col("s0") + 1)))
-        hamming = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("from_bits")[k])) for k in range(BITS // 64)])
-        both = F.size(F.array_intersect("hashes", "from_hashes"))
-        alike = both >= SIMILARITY * (F.size("hashes") + F.size("from_hashes") - both)
-        left = entries if reached is None else entries.join(reached.select("core"), "core", "left_anti")
-        new = left.join(probes, ["t", "key", "step"]).where(hamming <= HAMMING).where(alike).groupBy("core").agg(F.max("from_kind").alias("kind"))
-        new = cut(new)
-        if new.isEmpty():
+        probes = frontier.join(classes.select("core", "shingles", "keys"), "core").select(F.col("core").alias("near"), "kind", step.alias("mid"), F.posexplode("keys").alias("table", "key"))
+        probes = probes.withColumn("step", F.explode(F.array(F.col("mid") - 1, F.col("mid"), F.col("mid") + 1))).select("near", "kind", slot)
+        pairs = entries.join(probes, "slot").groupBy("core", "near").agg(F.max("kind").alias("kind")).join(labelled.select("core"), "core", "left_anti")
+        both = pairs.join(signatures, "core").join(signatures.select(F.col("core").alias("near"), F.col("bits").alias("near_bits")), "near")
+        hamming = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("near_bits")[k])) for k in range(BITS // 64)])
+        close = cut(both.where(hamming <= HAMMING).select("core", "near", "kind"))
+        if close.isEmpty():
+            break
+        # Shingles only of the texts that came so far.
+        wanted = close.select("core").union(close.select("near")).distinct().join(classes.select("core", "doc_id"), "core")
+        hashes = cut(texts.join(wanted, "doc_id").groupBy("core").agg(F.max("text").alias("text")).mapInArrow(_shingles, "core binary, hashes array<bigint>"))
+        shared = F.size(F.array_intersect("hashes", "near_hashes"))
+        alike = shared >= SIMILARITY * (F.size("hashes") + F.size("near_hashes") - shared)
+        checked = close.join(hashes, "core").join(hashes.select(F.col("core").alias("near"), F.col("hashes").alias("near_hashes")), "near").where(alike)
+        frontier = cut(checked.groupBy("core").agg(F.max("kind").alias("kind")))
+        if frontier.isEmpty():
             break
-        reached = new if reached is None else cut(reached.unionByName(new))
-        frontier = new.join(classes.select("core", "hashes", "bits", "keys"), "core")
-    if reached is not None:
-        own = own.unionByName(seen.where("kind is null").select("doc_id", "core").join(reached, "core").select("doc_id", "kind", F.lit(True).alias("spread")))
-    # A copy in other case or spacing of a labelled text has its class's label.
-    labelled = classes.where("kind is not null").select("core", F.col("kind").alias("class_kind"))
-    own = own.unionByName(seen.where("kind is null").select("doc_id", "core").join(labelled, "core").select("doc_id", F.col("class_kind").alias("kind"), F.lit(True).alias("spread")))
+        labelled = cut(labelled.unionByName(frontier))
+    own = seen.where("kind is not null").select("doc_id", "kind", F.lit(False).alias("spread"))
+    # A copy in other case or spacing has its class's label, as every text that a label reached.
+    spread = seen.where("kind is null").select("doc_id", "core").join(labelled, "core").select("doc_id", "kind", F.lit(True).alias("spread"))
     rank = F.when(F.col("kind") == "placeholder", 0).when(F.col("kind") == "filler", 1).otherwise(2)
-    return own.groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"), F.min("spread").alias("spread"))
+    return own.unionByName(spread).groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"), F.min("spread").alias("spread"))
