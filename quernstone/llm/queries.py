@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.encode import encode_texts
 from quernstone.llm.handwritten import judge_files
+from quernstone.llm.languages import code_languages
 from quernstone.llm.leaks import leaked_passages
 from quernstone.llm.residue import find_residue
 from quernstone.llm.secrets import find_credentials, redact_chunks
@@ -16,6 +17,14 @@ from quernstone.llm.splitting import split_chunks
 from quernstone.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return code_languages(table(spark, folder, "chunks")).select("project", "path", "lang")
+
+
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return code_languages(table(spark, folder, "chunks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_chunks(table(spark, folder, "chunks")).where("id is not null").select("id").distinct()
 
@@ -71,7 +80,7 @@ def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
 }
 ORACLE_SQL: dict[str, str] = {
     "p3_found": "select distinct id from chunks where length(content) > 6000 and id is not null",
