@@ -11,6 +11,7 @@ from quernstone.llm.encode import encode_texts
 from quernstone.llm.handwritten import judge_files
 from quernstone.llm.languages import code_languages
 from quernstone.llm.leaks import leaked_passages
+from quernstone.llm.parsing import invalid_rates, judge_sources
 from quernstone.llm.residue import find_residue
 from quernstone.llm.secrets import find_credentials, redact_chunks
 from quernstone.llm.splitting import split_chunks
@@ -53,6 +54,14 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redact_chunks(table(spark, folder, "chunks"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_sources(table(spark, folder, "chunks")).where("not valid").select("project", "path")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return invalid_rates(table(spark, folder, "chunks"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"))
 
@@ -80,7 +89,7 @@ def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
 }
 ORACLE_SQL: dict[str, str] = {
     "p3_found": "select distinct id from chunks where length(content) > 6000 and id is not null",
