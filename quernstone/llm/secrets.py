@@ -77,6 +77,9 @@ _HASHES = re.compile(r"^(?:(?:sha(?:1|224|256|384|512)|md5)[-:][\w+/=-]+|[0-9a-f
 # Code instead of a value.
 _CODE = re.compile(r"[(\[{]|^\w+(?:\.\w+)+$|\s(?:=|\+|\?|\|\||&&)\s|;$|,$")
 
+# A line of an environment file: its value is a literal whatever it looks like, unless it opens something.
+_ENV_LINE, _OPEN = re.compile(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=\S+\s*$"), re.compile(r"[(\[{]")
+
 
 @lru_cache(maxsize=50_000)
 def unexplained(value: str) -> int:
@@ -272,7 +275,7 @@ def _look_at(text: str, line: str, begin: int, end: int) -> tuple[str, list[tupl
                     continue
                 if is_secret(lit["v"], own):
                     add("assignment" if direct else "fallback", m.start("rest") + lit.start("v"), m.start("rest") + lit.end("v"))
-        elif named and not _CODE.search(rest.strip()):
+        elif named and not (_OPEN if _ENV_LINE.match(line) else _CODE).search(rest.strip()):
             v = rest.strip().split()[0].strip("\"',;")
             if is_secret(v, True) and classes(v) >= 3 - (unexplained(v) >= 8):
                 add("assignment", m.start("rest") + rest.index(v), m.start("rest") + rest.index(v) + len(v))
