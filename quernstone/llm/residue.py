@@ -27,7 +27,8 @@ _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S
 _TICKS = re.compile(r"(`+)[^`\n]+?\1")
 # Fixed forms of an unfilled placeholder.
 _PLACEHOLDER = re.compile(
-    "|".join(
+    r"(?=[{<$#\[%_@«])(?:"
+    + "|".join(
         (
             r"\{\{[^{}\n]{1,80}\}\}",
             r"\{%[^%\n]{1,80}%\}",
@@ -48,6 +49,7 @@ _PLACEHOLDER = re.compile(
             r"«\w+ (?:del|de la|de|of the|of|du|da|do|der|des) \w+»",
         )
     )
+    + ")"
 )
 _HTML = re.compile(r"</?(?:html|head|title|body|center|h\d|hr|p|br|div|span|noscript|meta|strong|em|b|i|a|ul|li|pre)\b[^<>]*>|<!doctype[^<>]*>", re.I)
 # What page frames are made of.
@@ -163,15 +165,14 @@ def _matches(patterns: list[re.Pattern], unit: str) -> bool:
     return any(p.search(unit) for p in patterns)
 
 
-def label(text: str) -> str | None:
-    """The kind of residue that a text is or holds, or None."""
+def label(text: str, core: str | None = None) -> str | None:
+    """The kind of residue that a text is or holds, or None. core: the text without its frame, if it is known."""
     if not text or not text.strip():
         return None
     if _PLACEHOLDER.search(text) and _PLACEHOLDER.search(without_code(text)):
         return "placeholder"
-    core = strip_frame(text)
-    words = _WORD.findall(core.lower())
-    if not words and not core:
+    core = strip_frame(text) if core is None else core
+    if not core:
         return None
     plain = core
     if "<" in plain:
@@ -200,34 +201,43 @@ def label(text: str) -> str | None:
     return "page" if strong else None
 
 
-def shingle_hashes(core: str) -> list[int]:
-    """The distinct 64-bit hashes of the text's runs of SHINGLE words; a shorter text is one run."""
+def shingle_hashes(words: list[str]) -> list[int]:
+    """The distinct 64-bit hashes of the runs of SHINGLE words; a shorter text is one run."""
     import xxhash
 
-    words = _WORD.findall(core.lower())
-    if not words:
-        return []
     h = xxhash.xxh3_64_intdigest
-    return list({h(" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))})
+    return list({h(" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))}) if words else []
 
 
-def signature(hashes: list[int]):
-    """SimHash: for each bit, whether most of the shingles' bits are set."""
+def signatures(texts: list[list[int]]):
+    """SimHash of each text's shingle hashes: for each bit, whether most of the shingles' bits are set. One pass over all shingles."""
     import numpy as np
 
-    h = np.array(hashes, dtype=np.uint64)
-    parts = []
-    for k in range(BITS // 64):
-        mixed = h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-        parts.append(mixed)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 8192):
-        bits = np.unpackbits(np.stack([p[at : at + 8192] for p in parts], axis=1).view(np.uint8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return (2 * counts > len(h)).astype(np.uint8)
+    out = np.zeros((len(texts), BITS), dtype=np.uint8)
+    at = 0
+    while at < len(texts):
+        # As many texts at a time as have about 32,000 shingles together; a longer text is one part of its own.
+        stop, n = at, 0
+        while stop < len(texts) and (n == 0 or n + len(texts[stop]) <= 32_768):
+            n += len(texts[stop])
+            stop += 1
+        sizes = np.array([len(t) for t in texts[at:stop]], dtype=np.int64)
+        h = np.fromiter((x for t in texts[at:stop] for x in t), dtype=np.uint64, count=n)
+        counts = np.zeros((stop - at, BITS), dtype=np.int64)
+        for low in range(0, n, 65_536):
+            part = h[low : low + 65_536]
+            # Only a text of its own is longer than a part, so a part's texts begin where their sizes say.
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if stop - at > 1 else np.zeros(1, dtype=np.int64)
+            for k in range(BITS // 64):
+                mixed = part ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                mixed ^= mixed >> np.uint64(31)
+                bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
+                counts[:, k * 64 : (k + 1) * 64] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+        out[at:stop] = 2 * counts > sizes[:, None]
+        at = stop
+    return out
 
 
 def _tables():
@@ -245,25 +255,28 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables, weights = _tables(), 1 << np.arange(KEY_BITS)
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "kind", "core", "shingles", "bits", "keys")}
+        held = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             core = strip_frame(text)
-            hashes = shingle_hashes(core)
-            if not hashes:
+            words = _WORD.findall(core.lower())
+            if not words:
                 continue
-            bits = signature(hashes)
+            held.append(shingle_hashes(words))
             out["doc_id"].append(doc)
-            out["kind"].append(label(text))
-            out["core"].append(xxhash.xxh3_128_digest(" ".join(_WORD.findall(core.lower()))))
-            out["shingles"].append(len(hashes))
-            out["bits"].append(np.packbits(bits).view(">i8").astype(np.int64).tolist())
-            out["keys"].append((bits[tables] @ weights).astype(np.int32).tolist())
+            out["kind"].append(label(text, core))
+            out["core"].append(xxhash.xxh3_128_digest(" ".join(words)))
+            out["shingles"].append(len(held[-1]))
+        if held:
+            bits = signatures(held)
+            out["bits"] = np.packbits(bits, axis=1).view(">i8").astype(np.int64).tolist()
+            out["keys"] = (bits[:, tables].astype(np.int32) @ weights.astype(np.int32)).tolist()
         kinds = [batch.schema.field(0).type, pa.string(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [[h - (1 << 63) for h in shingle_hashes(strip_frame(t))] for t in batch.column(1).to_pylist()]
+        hashes = [[h - (1 << 63) for h in shingle_hashes(_WORD.findall(strip_frame(t).lower()))] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["core", "hashes"])
 
 
