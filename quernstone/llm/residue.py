@@ -187,7 +187,7 @@ def label(text: str, core: str | None = None) -> str | None:
     strong, lines = 0, [x.strip() for x in plain.split("\n") if x.strip()]
     for k, line in enumerate(lines):
         bare = line.lstrip("# ") if (heading := bool(_HEADING.match(line))) else line
-        for unit in [bare] if _matches(_STRONG, bare + " ") else _UNIT.split(bare):
+        for unit in [bare] if _matches(_STRONG, bare) or _matches(_STRONG, bare + " ") else _UNIT.split(bare):
             if not unit or not unit.strip():
                 continue
             if _matches(_STRONG, unit.strip()) or _matches(_STRONG, unit.strip() + " "):
