@@ -42,6 +42,26 @@ _CLOSERS = {
 STATES = {"js": (CODE, "/*", "`"), "go": (CODE, "/*", "`"), "py": (CODE, '"""', "'''"), "sql": (CODE, "/*", "'"), "sh": (CODE, "'", '"')}
 
 
+# How files of a language begin their lines.
+_SIGNS = {
+    "js": re.compile(r"^(?:import\s+[\w{*][^\n]*from\s+[\"']|export\s+(?:default|const|async|function|class|interface|type|abstract|enum)\b|(?:const|let|var)\s+[\w{\[][^\n]*=|(?:async\s+)?function\s+\w+\s*\()", re.M),
+    "py": re.compile(r"^(?:from\s+[\w.]+\s+import\s|import\s+\w+(?:\.\w+)*[ \t]*$|def\s+\w+\(|class\s+\w+[^\n;{]*:[ \t]*$)", re.M),
+    "go": re.compile(r"^(?:package\s+\w+[ \t]*$|func\s+(?:\(\w+\s+\S+\)\s*)?\w+\()", re.M),
+    "sql": re.compile(r"^(?:create\s+(?:or\s+replace|unique|table|index|view|policy|function|type|role)|insert\s+into|alter\s+(?:table|role|user)|update\s+\w+\s+set)\b", re.M | re.I),
+    "sh": re.compile(r"^(?:#![^\n]*\b(?:ba|da|z)?sh\b|set -[a-z]+o? )", re.M),
+}
+
+
+def language_of(path: str, text: str) -> str | None:
+    """The language of a text by its file's ending, unless it bears no sign of that one and signs of another: a wrong ending."""
+    named = language(path)
+    if named is None or _SIGNS[named].search(text):
+        return named
+    found = {lang: len(sign.findall(text[:20_000])) for lang, sign in _SIGNS.items() if lang != named}
+    best = max(found, key=lambda lang: (found[lang], lang))
+    return best if found[best] else named
+
+
 def language(path: str) -> str | None:
     return ENDINGS.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
 
