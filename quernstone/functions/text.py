@@ -55,7 +55,8 @@ _SOURCE, _TARGET = _fold_table()
 def folded(column: Column | str) -> Column:
     """Lower case without diacritics, in the JVM; null stays null."""
     low = F.lower(F.col(column) if isinstance(column, str) else column)
-    return F.regexp_replace(F.translate(low, _SOURCE, _TARGET), r"\p{Mn}", "")
+    # Translating costs a look-up per character, so plain ASCII, which is most code, goes without.
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, _SOURCE, _TARGET), r"\p{Mn}", "")).otherwise(low)
 
 
 def tokens(column: Column | str) -> Column:

@@ -25,7 +25,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     Statistics are those of all of docs. Only occurrences of the terms leave the scan; document lengths are counted in place. A
     null content counts as empty; no terms, or none found, give no rows.
     """
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]) if terms else F.array().cast("array<string>")
+    wanted = list(dict.fromkeys(terms)) or [""]
     fields = docs.select("id", tokens(F.coalesce("path", F.lit(""))).alias("p"), tokens(F.coalesce("content", F.lit(""))).alias("c"))
     sized = fields.select("id", "p", "c", (F.size("p") + F.size("c")).alias("len"))
     stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
@@ -34,8 +34,8 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
         "len",
         F.explode(
             F.concat(
-                F.transform(F.filter("p", lambda t: F.array_contains(wanted, t)), lambda t: F.struct(t.alias("term"), F.lit(PATH_WEIGHT).alias("w"))),
-                F.transform(F.filter("c", lambda t: F.array_contains(wanted, t)), lambda t: F.struct(t.alias("term"), F.lit(CONTENT_WEIGHT).alias("w"))),
+                F.transform(F.filter("p", lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(PATH_WEIGHT).alias("w"))),
+                F.transform(F.filter("c", lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(CONTENT_WEIGHT).alias("w"))),
             )
         ).alias("h"),
     )

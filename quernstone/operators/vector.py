@@ -17,9 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Unit length, with a floor for the zero vector."""
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    """Unit length, with a floor for the zero vector. The length is found once: it comes along in a pair with the vector."""
+    pair = F.array(F.struct(a.alias("v"), F.greatest(norm(a), F.lit(1e-12)).alias("n")))
+    return F.transform(pair, lambda p: F.transform(p["v"], lambda x: x.cast("double") / p["n"]))[0]
 
 
 def usable(vector: Column, dimension: Column) -> Column:
@@ -32,7 +32,9 @@ def exact_top(vectors: DataFrame, query: list[float], limit: int, key: str = "ch
     """key, score: the ``limit`` rows of the highest cosine to one query vector, ties by key. One pass and a top-k; no shuffle of vectors."""
     length = math.sqrt(sum(x * x for x in query)) or 1e-12
     q = F.array(*[F.lit(float(x) / length) for x in query])
-    return vectors.select(key, F.round(dot(normalised(F.col(vector)), q), 5).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(limit)
+    # The product over the length, not the product with a normalised vector: a lambda would find the length anew per element.
+    cosine = dot(F.col(vector), q) / F.greatest(norm(F.col(vector)), F.lit(1e-12))
+    return vectors.select(key, F.round(cosine, 5).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
 def backlog(chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
