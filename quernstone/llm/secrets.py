@@ -21,8 +21,8 @@ from quernstone.operators.files import each_block, windows_by_block
 
 #: Unexplained characters of a literal that make a secret by themselves, and where the context names a secret.
 REST_ALONE, REST_NAMED = 14, 5
-#: Longer literals are data.
-LONGEST = 400
+#: Longer literals are data; longer lines are looked at place by place.
+LONGEST, LONG_LINE = 400, 4000
 
 # Common words of code and of passwords that people choose.
 _WORDS = frozenset(
@@ -178,11 +178,16 @@ def find_secrets(text: str, first_line: int = 1) -> list[tuple[int, str, list[tu
                 found.append((number, "private_key", spans))
                 done = stop.start() if stop else begin
             continue
-        if len(line) > 4000:
-            # Bundles and data: only formats that nothing else has.
-            spans = [(begin + k.start(), begin + k.end()) for k in _KNOWN.finditer(line)]
-            if spans and not re.search(r"[\[\]{}\\]", text[spans[0][0] : spans[0][1]]):
-                found.append((number, "known_format", spans))
+        if len(line) > LONG_LINE:
+            # Of a very long line, the surroundings of each place are looked at, so that its length doesn't count twice.
+            kind, spans = "", []
+            for place in _TRIGGER.finditer(text, begin, end):
+                low, high = max(begin, place.start() - 200), min(end, place.start() + 2 * LONGEST)
+                what, own, _ = _look_at(text, text[low:high], low, high)
+                kind = kind or what
+                spans.extend(x for x in own if not any(x[0] < y and w < x[1] for w, y in spans))
+            if spans:
+                found.append((number, kind, sorted(spans)))
             continue
         kind, spans, to = _look_at(text, line, begin, end)
         if spans:

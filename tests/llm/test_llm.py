@@ -253,6 +253,14 @@ def test_p5_blocks_and_parts(spark):
     assert secrets.find_credentials(spark.createDataFrame(NO_CHUNKS, CHUNKS)).count() == 0
 
 
+def test_p5_very_long_lines():
+    filler = "for(var i=0;i<n.length;i++)s.push(n[i]^3);" * 300
+    text = "a\n" + filler + 'var password="V5_LY9GiGU!Qn+M";' + filler + 'c("postgres://app:vx8!kQzP21@db.test:5/x");' + filler + "\nb"
+    (line, _, spans), = secrets.find_secrets(text)
+    assert line == 2 and [text[a:b] for a, b in spans] == ["V5_LY9GiGU!Qn+M", "vx8!kQzP21"]
+    assert secrets.find_secrets("a\n" + filler + "\n") == [] and secrets.find_secrets('x = "' + "aB3/" * 5000 + '";') == []
+
+
 def test_p5_segments():
     assert secrets.unexplained("Active.Route9267!") == 0 and secrets.unexplained("xq7Zk9vWp2") >= 7
 
