@@ -225,3 +225,77 @@ def similar_pairs(embeddings: DataFrame, k: int = 10, similarity: float = 0.9) -
     pairs = vectors.select("class", "chunk_id").join(lists, "class").where(F.col("chunk_id") != F.col("neighbour")).select("chunk_id", "neighbour", "cosine")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("cosine"), F.asc("neighbour"))))
     return ranked.where(F.col("rank") <= k)
+
+
+#: For a stated set of queries against all rows: lines, collisions of a candidate, vectors of a block, queries of a block, and the
+#: share of a block that widening goes on to have as candidates.
+SEARCH_LINES, SEARCH_COLLISIONS, SEARCH_BLOCK, QUERY_BLOCK, SEARCH_SHARE = 64, 46, 4096, 512, 0.1
+#: Half-widths of the windows, from a near copy's to one that holds nearly everything.
+SEARCH_WIDTHS = (0.15, 0.4, 0.7, 0.9, 1.05, 1.15, 1.25, 1.35, 1.5, 1.75, 2.1, 3.0, 1e9)
+
+
+def _search(k: int):
+    """For mapInArrow over pairs of a block of queries and a block of vectors: the queries' k nearest of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        lines: dict = {}
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                model, dimension, q_ids, q, ids, v = (column[c][row].as_py() for c in ("model", "dimension", "query_ids", "queries", "ids", "vectors"))
+                if (model, dimension) not in lines:
+                    lines[model, dimension] = _lines(model, dimension, 2, SEARCH_LINES)
+                unit = lambda x: (m := np.array(x, dtype=np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
+                q, v, ids = unit(q), unit(v), np.array(ids)
+                places = (v @ lines[model, dimension].T).astype(np.float32)
+                order = np.argsort(places, axis=0, kind="stable")
+                sorted_places = np.take_along_axis(places, order, axis=0)
+                own = (q @ lines[model, dimension].T).astype(np.float32)
+                enough = min(len(ids), max(5 * k, int(SEARCH_SHARE * len(ids))))
+                out: list[tuple[int, int, float]] = []
+                for i, query in enumerate(q_ids):
+                    counts = np.zeros(len(ids), dtype=np.int16)
+                    low = high = None
+                    for width in SEARCH_WIDTHS:
+                        to_low = [int(np.searchsorted(sorted_places[:, t], own[i, t] - width, "left")) for t in range(SEARCH_LINES)]
+                        to_high = [int(np.searchsorted(sorted_places[:, t], own[i, t] + width, "right")) for t in range(SEARCH_LINES)]
+                        for t in range(SEARCH_LINES):
+                            # Only what the window has gained on either side is counted.
+                            if low is None:
+                                counts[order[to_low[t] : to_high[t], t]] += 1
+                            else:
+                                counts[order[to_low[t] : low[t], t]] += 1
+                                counts[order[high[t] : to_high[t], t]] += 1
+                        low, high = to_low, to_high
+                        candidates = np.flatnonzero(counts >= SEARCH_COLLISIONS)
+                        if len(candidates) >= enough:
+                            break
+                    candidates = candidates[ids[candidates] != query]
+                    cosines = v[candidates] @ q[i]
+                    for j in np.lexsort((ids[candidates], -cosines))[:k]:
+                        out.append((query, int(ids[candidates[j]]), float(cosines[j])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["chunk_id", "neighbour", "cosine"])
+
+    return run
+
+
+def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
+    """chunk_id, neighbour, cosine, rank: of each query its k most similar vectors of all rows, however similar they are.
+
+    is_query: a condition on chunk_id. Queries and vectors are hashed into blocks of bounded size; each pair of blocks is a row of
+    its own, spread by the vectors' block, and yields k rows per query, which merge. Every row is searched; what isn't found is what
+    collides too seldom (a recall of 0.95 and more is tested against brute force). Ties rank by neighbour; empty tables give no rows.
+    """
+    vectors = cut(clean_vectors(embeddings))
+    sizes = vectors.groupBy("model", "dimension").agg(F.ceil(F.count(F.lit(1)) / SEARCH_BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(is_query) / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    rows = vectors.join(sizes, ["model", "dimension"])
+    block = lambda n: F.pmod(F.xxhash64("chunk_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    keyed = rows.withColumn("block", block("blocks")).groupBy("model", "dimension", "block").agg(F.collect_list("chunk_id").alias("ids"), F.collect_list("vector").alias("vectors"))
+    asked = rows.where(is_query).withColumn("query_block", block("query_blocks")).groupBy("model", "dimension", "query_block").agg(F.collect_list("chunk_id").alias("query_ids"), F.collect_list("vector").alias("queries"), F.first("blocks").alias("blocks"))
+    spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = spread.join(keyed, ["model", "dimension", "block"]).select("model", "dimension", "query_ids", "queries", "ids", "vectors")
+    found = pairs.mapInArrow(_search(k), "chunk_id bigint, neighbour bigint, cosine double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("cosine"), F.asc("neighbour"))))
+    return ranked.where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from quernstone.llm.encode import encode_texts
 from quernstone.llm.handwritten import judge_files
 from quernstone.llm.languages import code_languages
 from quernstone.llm.leaks import leaked_passages
-from quernstone.llm.neighbours import similar_pairs
+from quernstone.llm.neighbours import nearest, similar_pairs
 from quernstone.llm.parsing import invalid_rates, judge_sources
 from quernstone.llm.residue import find_residue
 from quernstone.llm.secrets import find_credentials, redact_chunks
@@ -36,6 +36,11 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "chunk_embeddings"))
 
 
+def p2_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, among all rows."""
+    return nearest(table(spark, folder, "chunk_embeddings"), F.col("chunk_id") % 50 == 0)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_chunks(table(spark, folder, "chunks")).where("id is not null").select("id").distinct()
 
@@ -99,7 +104,7 @@ def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_neighbours, p2_search, p3_found, p3_pieces, p4_found, p4_evidence, p5_found, p5_credentials, p5_redacted, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p9_items, p10_found, p10_kinds)
 }
 ORACLE_SQL: dict[str, str] = {
     "p3_found": "select distinct id from chunks where length(content) > 6000 and id is not null",

@@ -147,6 +147,32 @@ def test_p2_large_cells_are_compared_whole(spark, monkeypatch):
     assert len(got & brute(rows_)) >= 0.95 * len(brute(rows_))
 
 
+def test_p2_search_recall(spark, small, monkeypatch):
+    """Recall of a stated query set over several blocks against brute force, ties and vectors that nothing is near included."""
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "SEARCH_BLOCK", 200)
+    df = spark.read.parquet(f"{small.replace('0.001', '0.01')}/chunk_embeddings.parquet")
+    got = {}
+    for r in neighbours.nearest(df, F.col("chunk_id") % 10 == 0).collect():
+        got.setdefault(r.chunk_id, {})[r.neighbour] = r.cosine
+    groups = {}
+    for r in neighbours.clean_vectors(df).collect():
+        groups.setdefault((r.model, r.dimension), []).append((r.chunk_id, r.vector))
+    hit = total = 0
+    for own in groups.values():
+        ids, v = np.array([i for i, _ in own]), np.array([x for _, x in own], dtype=float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for i in np.flatnonzero(ids % 10 == 0):
+            s = v @ v[i]
+            s[i] = -2
+            best = [int(ids[j]) for j in np.lexsort((ids, -s.round(9)))[:10] if s[j] > -2]
+            total += len(best)
+            hit += len(set(best) & set(got.get(int(ids[i]), {})))
+    assert total > 300 and hit >= 0.95 * total
+    assert neighbours.nearest(df.limit(0), F.col("chunk_id") % 10 == 0).count() == 0
+
+
 def test_p2_counts():
     import numpy as np
 
