@@ -229,7 +229,7 @@ def similar_pairs(embeddings: DataFrame, k: int = 10, similarity: float = 0.9) -
 
 #: For a stated set of queries against all rows: lines, collisions of a candidate, vectors of a block, queries of a block, and the
 #: share of a block that widening goes on to have as candidates.
-SEARCH_LINES, SEARCH_COLLISIONS, SEARCH_BLOCK, QUERY_BLOCK, SEARCH_SHARE = 64, 46, 4096, 512, 0.1
+SEARCH_LINES, SEARCH_COLLISIONS, SEARCH_BLOCK, QUERY_BLOCK, SEARCH_SHARE = 64, 46, 4096, 512, 0.15
 #: Half-widths of the windows, from a near copy's to one that holds nearly everything.
 SEARCH_WIDTHS = (0.15, 0.4, 0.7, 0.9, 1.05, 1.15, 1.25, 1.35, 1.5, 1.75, 2.1, 3.0, 1e9)
 
@@ -286,7 +286,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     is_query: a condition on chunk_id. Queries and vectors are hashed into blocks of bounded size; each pair of blocks is a row of
     its own, spread by the vectors' block, and yields k rows per query, which merge. Every row is searched; what isn't found is what
-    collides too seldom (a recall of 0.95 and more is tested against brute force). Ties rank by neighbour; empty tables give no rows.
+    collides too seldom (the recall against brute force is tested; see the README). Ties rank by neighbour; empty tables give no rows.
     """
     vectors = cut(clean_vectors(embeddings))
     sizes = vectors.groupBy("model", "dimension").agg(F.ceil(F.count(F.lit(1)) / SEARCH_BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(is_query) / QUERY_BLOCK).cast("int").alias("query_blocks"))
