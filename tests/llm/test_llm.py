@@ -338,6 +338,28 @@ def test_p7_long_files(spark):
     assert {r.path: r.valid for r in parsing.judge_sources(df).collect()} == {"good.ts": True, "bad.ts": False, "open.ts": False, "mark.ts": False}
 
 
+def test_p7_long_files_are_parsed(spark):
+    """Statements of files of several blocks are parsed, also those that cross blocks."""
+    n = 5000
+    rows = ",\n".join(f'  {{"k{i}": [{i}, "x"]}}' for i in range(n))
+    texts = {
+        "ok.json": f"[\n{rows}\n]\n", "comma.json": f"[\n{rows},\n]\n", "missing.json": f"[\n{rows}\n".replace("]},\n  {\"k4500", "]}\n  {\"k4500") + "]\n", "bare.json": f"[\n{rows}\n]\n".replace('"k4999"', "k4999"),
+        "ok.sql": "insert into t (a)\n values (1);\n" * n, "bad.sql": "insert into t (a)\n values (1);\n" * n + "select from where;\n",
+        "ok.py": "@deco\ndef f(a,\n      b):\n    x = '''\n(\n'''\nelse_ = 1\n" * n, "bad.py": "def f(a):\n    return a\n" * n + "def f(:):\n  pass\n",
+        "ok.go": "package a\n" + "\nfunc F() int {\n\treturn 1\n}\n" * n, "bad.go": "package a\n" + "\nfunc F() int {\n\treturn 1\n}\n" * n + "\nx := 1\n",
+        "ok.ts": "export const a: number = f(1,\n  2);\ntype B =\n  | 'a'\n  | 'b';\n" * n, "types.js": "export const a: number = f(1,\n  2);\n" * n, "late.ts": "export const a = `\nconst {\n`;\n" * n + "const a = ;\n",
+    }
+    got = {r.path: r.valid for r in parsing.judge_sources(chunks_of(spark, *texts.items())).collect()}
+    assert got == {path: path.startswith("ok") for path in texts}
+
+
+def test_p7_json_tokens_are_read_as_json():
+    for text in [*VALID["json"], *BROKEN["json"], "", "1", "-0.5e+3", "01", "1.", "[1 2]", "[,1]", "{,}", '{"a"}', '{"a":1 "b":2}', '"\\x"', '"a\tb"', "[]]", "[[]", "{]", "true false", "[true,false,null]", '{"a":{}}', '["\\u12g4"]', "NaN"]:
+        stream = parsing.JsonStream()
+        stream.feed(text)
+        assert stream.end() == parsing.is_valid(text, "json"), text
+
+
 def test_p7_summaries_are_associative():
     r = random.Random(3)
     for _ in range(200):
