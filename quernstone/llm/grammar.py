@@ -77,6 +77,7 @@ class Parser:
     def __init__(self) -> None:
         self.groups = Groups()
         self.known: dict[tuple[str, str], bool] = {}
+        self.t, self.p = [""], 0
 
     def reset(self) -> None:
         self.groups, self.known = Groups(), {}
@@ -89,7 +90,7 @@ class Parser:
         if got is None:
             if len(self.known) > self.KNOWN_LIMIT:
                 self.known.clear()
-            saved = getattr(self, "t", None), getattr(self, "p", 0)
+            saved = self.t, self.p
             self.t, self.p = [*self.tokens.findall(text), ""], 0
             try:
                 getattr(self, rule)()
@@ -139,17 +140,59 @@ class Parser:
             self.p = p
             return False
 
+    # The rule for one statement of each rule for many that ``lines`` is used with, and what may stand between two of them.
+    single: dict[str, tuple] = {}
+    between: tuple[str, ...] = ("\n",)
+
     def lines(self, rule: str, text: str, most: int = 60) -> bool:
-        """Whether the lines of a text fall into statements, each of one or more lines that fit the rule together."""
+        """Whether the lines of a text fall into statements, each of one or more lines that fit the rule together.
+
+        Statements of up to ``most`` lines are tried in every way; where none fits, longer ones are read as far as they go.
+        """
         rows = [x for x in text.split("\n") if x]
-        good = [True] + [False] * len(rows)
-        for j in range(1, len(rows) + 1):
+        good, back = [True] + [False] * len(rows), [0] * (len(rows) + 1)
+        j, last = 1, 0
+        while j <= len(rows):
             part = ""
             for i in range(j - 1, max(-1, j - 1 - most), -1):
                 part = rows[i] + "\n" + part if part else rows[i]
                 if good[i] and self.fits(rule, part):
-                    good[j] = True
+                    good[j], back[j], last = True, i, j
                     break
-            if not good[j] and j >= most and not any(good[j - most : j]):
-                return False
+            if not good[j] and j > most and (j == len(rows) or j - last >= most):
+                # The statement may have begun at any border seen lately, or where the one that ended there began.
+                starts = {k for i in range(max(0, last - most), last + 1) if good[i] for k in (i, back[i])}
+                start, end = self.reach(rule, rows, starts, last)
+                if not end:
+                    return False
+                good[end], back[end], last, j = True, start, end, end
+            j += 1
         return good[-1]
+
+    def reach(self, rule: str, rows: list[str], starts: set[int], behind: int) -> tuple[int, int]:
+        """(start, end) of the first line border behind a line to which whole statements reach from one of the starts, the latest first, or (0, 0)."""
+        saved = self.t, self.p
+        low = min(starts)
+        tokens, places = [], {}
+        for k, row in enumerate(rows[low:], low):
+            places[k] = len(tokens)
+            tokens += [*self.tokens.findall(row), "\n"]
+        places[len(rows)] = len(tokens)
+        ends = {p - 1: k for k, p in places.items() if p}
+        self.t = [*tokens[:-1], ""]
+        name, *arguments = self.single[rule]
+        try:
+            for start in sorted(starts, reverse=True):
+                self.p = places[start]
+                try:
+                    while not self.at(""):
+                        while self.at(*self.between):
+                            self.p += 1
+                        getattr(self, name)(*arguments)
+                        if ends.get(self.p, 0) > behind:
+                            return start, ends[self.p]
+                except (Broken, RecursionError):
+                    continue
+        finally:
+            self.t, self.p = saved
+        return 0, 0

@@ -35,6 +35,9 @@ def shape(text: str) -> str:
 class Go(Parser):
     tokens = re.compile(r":=|\.\.\.|<-|&\^=|<<=|>>=|&&|\|\||\+\+|--|[+\-*/%&|^]=|==|!=|<=|>=|<<|>>|&\^|[A-Za-z]+|0|\n|[^\s]")
 
+    single = {"declarations": ("declaration", True), "statements": ("statement",)}
+    between = ("\n", ";")
+
     def check(self, text: str) -> bool:
         try:
             s = shape(text)

@@ -52,6 +52,8 @@ class Js(Parser):
 
     tokens = re.compile(r"=>|>(?==>)|\.\.\.|\?\.(?!\d)|\?\?=?|\*\*=?|&&=?|\|\|=?|===|!==|==|!=|<=|>=|>>>=|<<=|>>=|\+\+|--|[+\-*/%&|^]=|[A-Za-z]+|0|\n|[^\s]")
 
+    single = {"program": ("statement", True), "body": ("statement", False), "members": ("member",)}
+
     def __init__(self, types: bool, jsx: bool):
         super().__init__()
         self.types, self.jsx = types, jsx

@@ -320,6 +320,25 @@ def test_p7_grammars(lang):
         assert not parsing.is_valid(text, lang), text
 
 
+@pytest.mark.parametrize("n", [58, 59, 60, 61, 90, 120, 121, 700])
+def test_p7_long_statements(n):
+    """A statement of any number of lines is one statement."""
+    union = "export type E =\n" + "\n".join(f"  | 'm{i}'" for i in range(n))
+    chain = "const x = q\n" + "\n".join(f"  .where{'abc'[i % 3]}(1)" for i in range(n))
+    plus = "const s = 'a' +\n" + "\n".join(f"  f{i % 3}(x) +" for i in range(n)) + "\n  'z'"
+    member = "class A {\n  a: string =\n" + "\n".join(f"    f{i % 3}(x) +" for i in range(n)) + "\n    'z'\n  b = 1\n}"
+    for text, lang in ((union, "ts"), (chain, "js"), (plus, "js"), (member, "ts"), (f"function f() {{\n{chain}\n{plus}\n}}", "js")):
+        for whole in (text, f"const a = 1\n{text}\nconst b = 2\n", f"{text}\n{text.replace(' x ', ' y ')};\nconst b = 2\n"):
+            assert parsing.is_valid(whole, lang), (n, whole[:40])
+            assert not parsing.is_valid(whole + "\nconst c = ;\n", lang)
+            assert not parsing.is_valid(whole + "\na b c\n" + "const d = 1\n" * 100, lang)
+    go = "package a\n\nvar s = \"a\" +\n" + "\n".join(f"\tf{i % 3}(x) +" for i in range(n)) + '\n\t"z"\n'
+    body = "package a\n\nfunc F() {\n\tx := q.\n" + "\n".join(f"\t\tW{'abc'[i % 3]}(1)." for i in range(n)) + "\n\t\tEnd()\n\ty := 1\n}\n"
+    for text in (go, go + "\nvar t = 1\n", body):
+        assert parsing.is_valid(text, "go"), (n, text[:40])
+        assert not parsing.is_valid(text + "\nx := 1\n", "go")
+
+
 def test_p7_operator(spark):
     whole = "\n".join(f"export const v{i} = [{i}];" for i in range(200))
     a, b = "\n".join(whole.split("\n")[:80]), "\n".join(whole.split("\n")[65:])
