@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from quernstone.operators.files import each_block, windows_by_block
 
 #: Unexplained characters of a literal that make a secret by themselves, and where the context names a secret.
 REST_ALONE, REST_NAMED = 14, 5
-#: Longer literals are data; longer lines are looked at place by place.
+#: Longer literals are data unless their name says secret; longer lines are looked at place by place.
 LONGEST, LONG_LINE = 400, 4000
 
 # Common words of code and of passwords that people choose.
@@ -52,12 +53,12 @@ _ASSIGN = re.compile(
 _SECRET_NAME = re.compile(rf"(?:^|[_.\-$]|(?<=[a-z])(?=[A-Z]))(?:{_NAME})(?:[_.\-]?\d+)?$", re.I)
 _PLAIN_NAME = re.compile(r"(?:hash|digest|sha\d*|md5|checksum|integrity|fingerprint|etag|commit|revision|trace|uuid|guid|public|cert|pattern|regex|version|_id|Id)(?:[_.\-]?\d+)?$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<v>(?:[^\"'`\\\n]|\\.|(?!(?P=q))[\"'`])*)(?P=q)")
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://(?P<user>[^\s:/@\"'<>${}]*):(?P<v>[^\s@/\"'<>{}`]{3,200})@[\w.-]", re.I)
-_HEADER = re.compile(r"\b(?P<scheme>Bearer|Basic|Token|Digest)\s+(?P<v>[A-Za-z0-9+/_.~=-]{8,400})")
-_FIELD = re.compile(r"\b(?:x-)?(?:api-?key|auth-?token|access-?token|authorization)[\"']?\]?\s*[:=]\s*[\"']?(?P<v>(?!Bearer|Basic|Token|Digest)[A-Za-z0-9+/_.~=-]{12,400})", re.I)
-_CLAUSE = re.compile(r"\b(?:password|identified by|pwd|passwd)\s*(?:=\s*)?(?P<q>['\"]?)(?P<v>[^\s'\";)]{6,200})(?P=q)", re.I)
-_FLAG = re.compile(r"(?:--?(?:password|pass|token|secret|api-key)[= ]|\s-u\s+\w+:)(?P<q>['\"]?)(?P<v>[^\s'\"]{6,200})", re.I)
-_PAIR = re.compile(r"\(\s*(?P<n>['\"][\w.-]+['\"])\s*,\s*(?P<q>['\"])(?P<v>[^'\"\n]{6,400})(?P=q)\s*\)")
+_URL = re.compile(r"[a-z][a-z0-9+.-]*://(?P<user>[^\s:/@\"'<>${}]*):(?P<v>[^\s@/\"'<>{}`]{3,})@[\w.-]", re.I)
+_HEADER = re.compile(r"\b(?P<scheme>Bearer|Basic|Token|Digest)\s+(?P<v>[A-Za-z0-9+/_.~=-]{8,})")
+_FIELD = re.compile(r"\b(?:x-)?(?:api-?key|auth-?token|access-?token|authorization)[\"']?\]?\s*[:=]\s*[\"']?(?P<v>(?!Bearer|Basic|Token|Digest)[A-Za-z0-9+/_.~=-]{12,})", re.I)
+_CLAUSE = re.compile(r"\b(?:password|identified by|pwd|passwd)\s*(?:=\s*)?(?P<q>['\"]?)(?P<v>[^\s'\";)]{6,})(?P=q)", re.I)
+_FLAG = re.compile(r"(?:--?(?:password|pass|token|secret|api-key)[= ]|\s-u\s+\w+:)(?P<q>['\"]?)(?P<v>[^\s'\"]{6,})", re.I)
+_PAIR = re.compile(r"\(\s*(?P<n>['\"][\w.-]+['\"])\s*,\s*(?P<q>['\"])(?P<v>[^'\"\n]{6,})(?P=q)\s*\)")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 # Formats that only credentials have.
@@ -121,7 +122,7 @@ def is_secret(value: str, named: bool, split: bool = False) -> bool:
     value = value.strip()
     if _KNOWN.search(value) and not re.search(r"[\[\]{}\\()*?]", value):
         return True
-    if not 6 <= len(value) <= LONGEST or _PLACEHOLDER.search(value) or _HASHES.match(value) or re.search(r"\s", value):
+    if len(value) < 6 or len(value) > LONGEST and not named or _PLACEHOLDER.search(value) or _HASHES.match(value) or re.search(r"\s", value):
         return False
     if re.search(r"[\[\]{}\\]", value) or value.startswith(("/", "./", "../", "@/", "http")) and "@" not in value:
         return False
@@ -148,24 +149,64 @@ def _basic(value: str) -> bool:
     return bool(colon and user and len(word) >= 4 and not _PLACEHOLDER.search(word))
 
 
-# Where a credential may stand: cheap to find, looked at closely line by line.
-_TRIGGER = re.compile(
-    r"PRIVATE KEY|://[^\s/@\"']*:[^\s/@\"']+@|(?:sk|rk|pk)_(?:live|test)_|xox[a-z]-|gh[a-z]_[A-Za-z0-9]|github_pat|glpat-|A[KS]IA[0-9A-Z]|AIza|eyJ[A-Za-z0-9]|"
-    r"(?:Bearer|Basic) [A-Za-z0-9]|(?:[Pp][Aa][Ss][Ss]|[Pp][Ww][Dd]|SECRET|[Ss]ecret|TOKEN|[Tt]oken|KEY|[Kk]ey|AUTH|[Aa]uth|CONTRASE|[Cc]ontrase|CLAVE|[Cc]lave|JWT|[Jj]wt|SLACK|[Ss]lack|BOT|[Bb]ot|SESSION|[Ss]ession|service_role|SERVICE_ROLE)[\w.-]*(?:[\"'`]\]?)?\s*(?:[:=,]+|[\"'])\s*[\"'`]?[^\s\"'`(]{8}|(?:\|\||\?\?|[Oo][Rr]) ?[\"'`]|:-|"
-    r"(?:PASSWORD|password|IDENTIFIED BY)[ =]|[\"'`] ?\+\n|[=:(]\s*[\"'`][^\s\"'`]{16,80}[\"'`]"
+# Where a credential may stand: cheap to find, looked at closely line by line. Each part is wider than the detector it stands
+# for. Words are found by an automaton in the lower-cased text, and what follows has to fit; all else begins with a sign.
+_BEHIND = r"(?:[_.\-]?\d+)?[\"'`]?\]?[^\S\n]*(?:\][^\S\n]*)?[:=,\"'][^\n]{6}"
+_VALUE = r"[^\S\n]*[^\s'\";)]*['\"=]"
+_WORD_TRIGGERS = {
+    # _SECRET_NAME before an assignment or a comma, _FIELD, _CLAUSE
+    "pass": rf"pass(?:(?:word|wd|phrase|wort|e)?{_BEHIND}|(?:word|wd){_VALUE})", "pwd": rf"pwd(?:{_BEHIND}|{_VALUE})", "contrase": rf"contrase[nñ]a{_BEHIND}", "clave": rf"clave(?:_\w+)?{_BEHIND}", "service": rf"service_?role{_BEHIND}", "auth": rf"auth(?:orization)?{_BEHIND}",
+    "credential": rf"credentials?{_BEHIND}", "identified by": rf"identified by{_VALUE}", **{w: rf"{w}{_BEHIND}" for w in ("secret", "kennwort", "senha", "jwt", "slack", "bot", "session", "key")},
+    "token": rf"token(?:{_BEHIND}|[^\S\n]+[A-Za-z0-9+/_.~=-]{{8}})", "bearer": rf"bearer(?:{_BEHIND}|[^\S\n]+[A-Za-z0-9+/_.~=-]{{8}})",
+    # _HEADER, _FLAG, _BLOCK
+    **{w: rf"{w}[^\S\n]+[A-Za-z0-9+/_.~=-]{{8}}" for w in ("basic", "digest")}, **{f"-{w}": rf"-{w}[= ]" for w in ("password", "pass", "token", "secret", "api-key")}, "-u": r"-u[^\S\n]+\w+:", "private key": "private key",
+    # _KNOWN
+    **{w: re.escape(w) for w in ("sk_live_", "sk_test_", "rk_live_", "rk_test_", "pk_live_", "pk_test_", "github_pat_", "glpat-", "aiza", "ya29.", "akia", "asia")}, "xox": "xox[a-z]-", "npm_": r"npm_\w{30}", "hf_": r"hf_\w{30}",
+    "sg.": r"sg\.[\w-]{20}", "eyj": r"eyj[\w-]{10}", **{f"gh{c}_": rf"gh{c}_\w" for c in "oprsu"},
+}
+_SIGN_TRIGGER = re.compile(
+    r"[=:>(,|?$o\"'`](?:(?<=[=:>(,])[^\S\n]*[rbufRBUF]{0,2}[\"'`][^\S\n]*[^\s\"'`]\S{14,78}[^\s\"'`][^\S\n]*[\"'`]|(?<=\|)\|[^\S\n]*[\"'`]|(?<=\?)\?[^\S\n]*[\"'`]|(?<=o)r[^\S\n]*[\"'`]|"
+    r"(?<=:)(?:-|//[^\s/@\"']*:[^\s/@\"']+@)|(?<=\$)\{\w+:=|(?<=[\"'`])[^\S\n]*\+[^\S\n]*\n)"
 )
 
 
+@lru_cache(maxsize=1)
+def _automaton():
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for word, pattern in _WORD_TRIGGERS.items():
+        made.add_word(word, (len(word) - 1, re.compile(pattern, re.I).match))
+    made.make_automaton()
+    return made
+
+
+_VALUE_END = re.compile(r"(?<=[\"'`\s])")
+
+
+def trigger_places(text: str) -> list[int]:
+    """Where a credential may stand, in order."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    places = [at - back for at, (back, fits) in _automaton().iter(low) if fits(text, at - back)]
+    places += [m.start() for m in _SIGN_TRIGGER.finditer(text)]
+    return sorted(places)
+
+
 def find_secrets(text: str, first_line: int = 1) -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(line, kind, spans to redact) of each credential that begins in the text; spans are offsets in the text."""
     found: list[tuple[int, str, list[tuple[int, int]]]] = []
-    done, number, counted = -1, first_line, 0
-    for m in _TRIGGER.finditer(text):
-        begin = text.rfind("\n", 0, m.start()) + 1
+    done, number, counted, past = -1, first_line, 0, 0
+    places = trigger_places(text)
+    for place in places:
+        if place < past:
+            continue
+        begin = text.rfind("\n", 0, place) + 1
         if begin <= done:
             continue
-        end = text.find("\n", m.start())
-        end = len(text) if end < 0 else end
+        end = text.find("\n", place)
+        past = end = len(text) if end < 0 else end
         number += text.count("\n", counted, begin)
         counted = begin
         done = begin
@@ -181,8 +222,10 @@ def find_secrets(text: str, first_line: int = 1) -> list[tuple[int, str, list[tu
         if len(line) > LONG_LINE:
             # Of a very long line, the surroundings of each place are looked at, so that its length doesn't count twice.
             kind, spans = "", []
-            for place in _TRIGGER.finditer(text, begin, end):
-                low, high = max(begin, place.start() - 200), min(end, place.start() + 2 * LONGEST)
+            for near in places[bisect.bisect_left(places, begin) : bisect.bisect_left(places, end)]:
+                low, high = max(begin, near - 200), min(end, near + 2 * LONGEST)
+                # A value that goes on beyond is looked at whole.
+                high = m.start() if (m := _VALUE_END.search(text, high, end)) else end
                 what, own, _ = _look_at(text, text[low:high], low, high)
                 kind = kind or what
                 spans.extend(x for x in own if not any(x[0] < y and w < x[1] for w, y in spans))
