@@ -75,17 +75,17 @@ def path_evidence(path: str) -> str | None:
 
 def text_evidence(path: str, text: str) -> str | None:
     """What the text shows: 'generated', 'copied', 'transpiled', 'minified', 'data', or None."""
-    head = _HEAD.match(text[:3000] + "\n")
+    head = _HEAD.match(text + "\n")
     if head:
         # The words of the leading comment, without comment marks at the line starts.
-        words = re.sub(r"\s+", " ", re.sub(r"^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+)", " ", head.group(1)[:1500], flags=re.M))
-        if _COPIED.search(words) or _COPIED.search(head.group(1)[:1500]):
+        words = re.sub(r"\s+", " ", re.sub(r"^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+)", " ", head.group(1), flags=re.M))
+        if _COPIED.search(words) or _COPIED.search(head.group(1)):
             return "copied"
         if _GENERATED.search(_SPEAKS.sub(" ", words)):
             return "generated"
-    if _TRANSPILED.search(text[:4000]):
+    if _TRANSPILED.search(text):
         return "transpiled"
-    if _MADE.search(text[:4000]):
+    if _MADE.search(text):
         return "generated"
     code = bool(_CODE.search(path))
     if code and len(text) >= 400:
@@ -121,7 +121,7 @@ def fingerprints(text: str, run: int = RUN, window: int = WINDOW) -> list[int]:
 
     import numpy as np
 
-    head = _HEAD.match(text[:3000])
+    head = _HEAD.match(text)
     tokens = _TOKEN.findall((text[head.end() :] if head else text).encode("utf-8", "replace"))
     n = len(tokens)
     if n < run:

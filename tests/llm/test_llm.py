@@ -229,6 +229,17 @@ def test_p4_evidence():
     assert [handwritten.path_evidence(p) for p in ("x/node_modules/y/a.js", "apps/bun.lock", "src/a.pb.go", "src/vendors/a.ts", "tools/builder/x.go")] == ["folder", "lock", "name", None, None]
 
 
+def test_p4_marks_stand_anywhere():
+    code = "".join(f"export const v{i} = f(v{i - 1}, {i});\n" for i in range(1, 400))
+    assert handwritten.text_evidence("a.js", code) is None
+    assert handwritten.text_evidence("a.js", code + "//# sourceMappingURL=a.js.map\n") == "transpiled"
+    assert handwritten.text_evidence("a.ts", code + "export interface Op3GetBody {\n}\n") == "generated"
+    terms = "".join(f" * Term {i} of the terms of use, which are long.\n" for i in range(150))
+    assert handwritten.text_evidence("a.js", f"/*\n{terms} */\n{code}") is None
+    assert handwritten.text_evidence("a.js", f"/*\n{terms} * Copyright (c) 2019 The Beacon Authors\n */\n{code}") == "copied"
+    assert handwritten.text_evidence("a.js", f"/*\n{terms} * Code generated by beacon. DO NOT EDIT.\n */\n{code}") == "generated"
+
+
 def test_p4_recurring_files(spark):
     r = random.Random(1)
     library = "\n".join(f"export function w{r.randrange(10**6)}(a{i}) {{ return q{r.randrange(10**6)}(a{i}, {i}); }}" for i in range(60))
