@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +20,9 @@ from quernstone.operators.files import each_block, windows_by_block
 from quernstone.session import cut
 
 #: Tokens of a fingerprint, hashes of a winnowing window (shared runs of RUN + WINDOW - 1 tokens are always seen).
-RUN, WINDOW = 40, 64
-#: A fingerprint recurs if this many projects hold it; a file is a copy if so large a share of at least so many recur.
-PROJECTS, SHARE, LEAST_PRINTS = 4, 0.9, 4
+RUN, WINDOW = 25, 15
+#: A fingerprint recurs if this many projects hold it; a file is a copy if so large a share of its own recur.
+PROJECTS, SHARE = 2, 0.7
 
 # Folders that hold output or packages, whatever lies in them.
 _FOLDERS = (
@@ -115,14 +116,21 @@ def _powers(n: int):
     return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x), dtype=np.uint64)])) for x in (_BASE, inverse))
 
 
+def _tokens(text: str) -> list[bytes]:
+    head = _HEAD.match(text)
+    return _TOKEN.findall((text[head.end() :] if head else text).encode("utf-8", "replace"))
+
+
 def fingerprints(text: str, run: int = RUN, window: int = WINDOW) -> list[int]:
     """Winnowed hashes of the text's runs of tokens: the words and numbers; white space and punctuation don't count, nor does a leading comment."""
+    return _winnow(_tokens(text), run, window)
+
+
+def _winnow(tokens: list[bytes], run: int, window: int) -> list[int]:
     from zlib import crc32
 
     import numpy as np
 
-    head = _HEAD.match(text)
-    tokens = _TOKEN.findall((text[head.end() :] if head else text).encode("utf-8", "replace"))
     n = len(tokens)
     if n < run:
         return []
@@ -146,9 +154,17 @@ def fingerprints(text: str, run: int = RUN, window: int = WINDOW) -> list[int]:
     return np.unique(least).view(np.int64).tolist()
 
 
+def prints_of(text: str) -> list[int]:
+    """The fingerprints, or for a text shorter than one winnowing window a hash of all its tokens."""
+    tokens = _tokens(text)
+    if len(tokens) >= RUN + WINDOW - 1:
+        return _winnow(tokens, RUN, WINDOW)
+    return [int.from_bytes(blake2b(b" ".join(tokens), digest_size=8).digest(), "little", signed=True)] if tokens else []
+
+
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for blocks in each_block(batches):
-        rows = [(project, path, block, text_evidence(path, text), fingerprints(text)) for project, path, block, _, text in blocks]
+        rows = [(project, path, block, text_evidence(path, text), prints_of(text)) for project, path, block, _, text in blocks]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["project", "path", "block", "seen", "prints"])
 
@@ -184,7 +200,7 @@ def judge_files(listed: DataFrame, chunks: DataFrame) -> DataFrame:
     evidence = (
         F.when(native.isin("lock", "folder"), native)
         .when(F.col("seen").isNotNull(), F.col("seen"))
-        .when((F.col("prints") >= LEAST_PRINTS) & (F.col("share") >= SHARE), "recurring")
+        .when(F.col("share") >= SHARE, "recurring")
         .when(F.col("has_text").isNull() & native.isNotNull(), native)
         .when(F.col("has_text").isNull() & F.col("told"), "reason")
         .when(F.col("has_text") & (F.lower("path").rlike(_TOOL_NAME.pattern) | (native.isNotNull() & F.col("told"))), native)

@@ -251,6 +251,19 @@ def test_p4_recurring_files(spark):
     assert handwritten.judge_files(spark.createDataFrame([], SOURCE_AUTHORITY), spark.createDataFrame(NO_CHUNKS, CHUNKS)).count() == 0
 
 
+def test_p4_copies_that_are_small_changed_or_few(spark):
+    r = random.Random(2)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    tiny, small, library, own = words(12), words(60), words(3000), {k: [words(n) for n in (12, 60, 3000)] for k in range(2)}
+    changed = [f"x{k}" if k % 150 == 75 else w for k, w in enumerate(library)]
+    items = [("tiny.ts", tiny, 0), ("tiny.ts", tiny, 1), ("small.ts", small, 0), ("small.ts", small, 1), ("lib.ts", library, 0), ("lib.ts", changed, 1), ("alone.ts", words(300), 0), ("twice.ts", same := words(300), 0), ("again.ts", same, 0)]
+    items += [(f"own{n}.ts", w, k) for k, texts in own.items() for n, w in enumerate(texts)]
+    rows = [(path, "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8)), 1, f"p{k}") for path, w, k in items]
+    listed = spark.createDataFrame([(p, path, "code", None, "c", "g") for path, _, _, p in rows], SOURCE_AUTHORITY)
+    got = {(x.project, x.path): x.evidence for x in handwritten.judge_files(extra(listed), chunks_of(spark, *rows)).collect()}
+    assert got == {(f"p{k}", path): "recurring" for k in range(2) for path in ("tiny.ts", "small.ts", "lib.ts")}
+
+
 def test_p4_winnowing_sees_shared_runs():
     shared = " ".join(f"tok{i}" for i in range(400))
     a, b = (set(handwritten.fingerprints(f"{x} " * 50 + shared + f" {x}" * 50)) for x in ("left", "right"))
