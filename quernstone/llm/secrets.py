@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators.files import each_block, windows_by_block
+from quernstone.operators.files import WHOLE, each_block, join_windows, windows_by_block
 
 #: Unexplained characters of a literal that make a secret by themselves, and where the context names a secret.
 REST_ALONE, REST_NAMED = 14, 5
@@ -61,6 +61,8 @@ _FLAG = re.compile(r"(?:--?(?:password|pass|token|secret|api-key)[= ]|\s-u\s+\w+
 _PAIR = re.compile(r"\(\s*(?P<n>['\"][\w.-]+['\"])\s*,\s*(?P<q>['\"])(?P<v>[^'\"\n]{6,})(?P=q)\s*\)")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# A key block that has no end: the rest of its line and all lines that hold nothing but key material.
+_BODY = re.compile(r"[^\n]*(?:\n[^\S\n]*[\"'`+]*[^\S\n]*(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/=]*(?:\\n)?)[\"'`+,; \t\r]*(?=\n|\Z))*")
 # Formats that only credentials have.
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w-]{20,}|AKIA[0-9A-Z]{12,16}|ASIA[0-9A-Z]{16}|"
@@ -213,7 +215,10 @@ def find_secrets(text: str, first_line: int = 1) -> list[tuple[int, str, list[tu
         line = text[begin:end]
         if b := _BLOCK.search(line):
             stop = _BLOCK_END.search(text, begin)
-            body = text[begin + b.end() : stop.start()] if stop else text[begin + b.end() : begin + b.end() + 4000]
+            after = _BLOCK.search(text, begin + b.end())
+            if stop and after and after.start() < stop.start():
+                stop = None
+            body = text[begin + b.end() : stop.start() if stop else _BODY.match(text, begin + b.end()).end()]
             if not re.fullmatch(r"(?:[\s\\n\"'+]|REDACTEDx*)*", body) and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40:
                 spans = [(begin + b.end() + w.start(), begin + b.end() + w.end()) for w in re.finditer(r"[A-Za-z0-9+/=]{8,}", body)]
                 found.append((number, "private_key", spans))
@@ -333,18 +338,21 @@ def _look_at(text: str, line: str, begin: int, end: int) -> tuple[str, list[tupl
     return kind, spans, begin
 
 
-def redact(text: str) -> str:
-    """The text with every credential's characters replaced by as many of a filler, so that quotes, lines and offsets stay."""
+def _fill(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
-    spans = sorted(s for _, _, own in find_secrets(text) for s in own)
-    for start, end in spans:
-        if start < at:
-            continue
-        out += [text[at:start], "REDACTED"[: end - start].ljust(end - start, "x")]
-        at = end
+    for start, end in sorted(spans):
+        start = max(start, at)
+        if start < end:
+            out += [text[at:start], "REDACTED"[: end - start].ljust(end - start, "x")]
+            at = end
     return "".join([*out, text[at:]])
 
 
+def redact(text: str) -> str:
+    """The text with every credential's characters replaced by as many of a filler, so that quotes, lines and offsets stay."""
+    return _fill(text, [s for _, _, own in find_secrets(text) for s in own])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for blocks in each_block(batches):
         rows = []
@@ -364,16 +372,58 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
     return windows_by_block(chunks).mapInArrow(_scan, "project string, path string, line int, kind string, column int")
 
 
+def redact_windows(starts: list[int], texts: list[str]) -> list[str]:
+    """The windows of one file, redacted by what the file put together of them shows. A window with a line of its own is also looked at alone."""
+    if len(texts) == 1:
+        return [redact(texts[0])]
+    _, whole = join_windows(*zip(*sorted(set(zip(starts, texts, strict=True))), strict=True), block_lines=WHOLE)
+    lines, begins = whole.split("\n"), [0, *(m.end() for m in re.finditer("\n", whole))]
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for _, _, own in find_secrets(whole):
+        for start, end in own:
+            at = bisect.bisect_right(begins, start) - 1
+            spans.setdefault(at, []).append((start - begins[at], end - begins[at]))
+    out = []
+    for s, text in zip(starts, texts, strict=True):
+        own = text.split("\n")
+        same = [lines[s - 1 + k] == line for k, line in enumerate(own)]
+        if not all(same):
+            own = redact(text).split("\n")
+        out.append("\n".join(_fill(line, spans[s - 1 + k]) if same[k] and s - 1 + k in spans else line for k, line in enumerate(own)))
+    return out
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their file: a file's rows at a time."""
+
+    def done(rows: list[dict]) -> pa.RecordBatch:
+        texts = redact_windows([r["s"] for r in rows], [r["content"] for r in rows]) if rows[0]["content"] is not None else [None]
+        return pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.int64()), pa.array(texts, pa.string())], names=["id", "content"])
+
+    key, held = None, []
     for batch in batches:
-        texts = [None if t is None else redact(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "content"])
+        for r in batch.to_pylist():
+            # Rows that belong to no file stand alone.
+            own = (r["project"], r["path"], r["generation"]) if r["whole"] else None
+            if held and (own is None or own != key):
+                yield done(held)
+                held = []
+            key = own
+            held.append(r)
+    if held:
+        yield done(held)
 
 
 def redact_chunks(chunks: DataFrame) -> DataFrame:
-    """id, content: each chunk row with its credentials redacted, in one pass without a shuffle; a null content stays null.
+    """id, content: each chunk row with its credentials redacted; a null content stays null.
 
-    A key block or split literal of which a chunk holds only the latter part is redacted in the chunk that holds its beginning;
-    windows overlap, so the file put together of redacted chunks should take lines from the window that starts first.
+    What is a credential is seen on the file put together of a generation's windows, and redacted in every row that holds a line
+    of it, so a window that begins inside a key block or a split literal is redacted too. Rows without project or path are
+    looked at alone. A task holds the windows of one file and generation.
     """
-    return chunks.select("id", "content").mapInArrow(_clean, "id bigint, content string")
+    whole = F.col("project").isNotNull() & F.col("path").isNotNull() & F.col("content").isNotNull()
+    generation = F.col("generation_id") if "generation_id" in chunks.columns else F.lit(None).cast("string")
+    start = F.greatest(F.coalesce(F.col("start_line"), F.lit(1)), F.lit(1))
+    rows = chunks.select("id", "project", "path", generation.alias("generation"), whole.alias("whole"), F.when(~whole, F.col("id")).alias("alone"), start.alias("s"), "content")
+    files = ["project", "path", "generation", "alone"]
+    return rows.repartition(*files).sortWithinPartitions(*files, "s").mapInArrow(_clean, "id bigint, content string")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Lines of one block. A file of fewer lines is one block; a longer one is spread over several rows (and tasks).
 BLOCK_LINES = 4096
+#: Instead of it, where a file's text is needed in one piece.
+WHOLE = 2**31 - 1
 
 
 def windows_by_block(chunks: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:

@@ -331,6 +331,22 @@ def test_p5_blocks_and_parts(spark):
     assert secrets.find_credentials(spark.createDataFrame(NO_CHUNKS, CHUNKS)).count() == 0
 
 
+def test_p5_windows_that_begin_inside(spark):
+    """A key block and a split literal are redacted in every window that holds a part of them."""
+    body = [f"{k:02d}" + "Ab3+" * 14 for k in range(90)]
+    lines = ["a = 1", "-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----", 'const a = "sk_live_9SEAUO1t" +', '  "ZZx81kPq02LmNn4";', "b = 2"]
+    windows = [(1, 40), (30, 60), (50, 94), (95, 96)]
+    rows = [("k.ts", "\n".join(lines[a - 1 : b]), a) for a, b in windows]
+    df = chunks_of(spark, *rows, ("n.ts", None), ("o.ts", "x = 1"))
+    got = {r.id: r.content for r in secrets.redact_chunks(df).collect()}
+    assert len(got) == 6 and got[4] is None and got[5] == "x = 1"
+    for k, (a, b) in enumerate(windows):
+        assert len(got[k]) == len(rows[k][1]) and "Ab3+Ab3+" not in got[k] and "ZZx81k" not in got[k]
+    assert got[3].endswith("\nb = 2")
+    cut = secrets.redact("\n".join(["x", *lines[1:-4]]) + "\nconst value = somethingElse(1);\n")
+    assert "Ab3+Ab3+" not in cut and cut.endswith("\nconst value = somethingElse(1);\n")
+
+
 def test_p5_very_long_lines():
     filler = "for(var i=0;i<n.length;i++)s.push(n[i]^3);" * 300
     text = "a\n" + filler + 'var password="V5_LY9GiGU!Qn+M";' + filler + 'c("postgres://app:vx8!kQzP21@db.test:5/x");' + filler + "\nb"
