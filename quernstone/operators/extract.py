@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.operators.files import each_block, windows_by_block
+from quernstone.operators.files import WHOLE, each_block, windows_by_block
 
 # What a definition, a call and a use of a table look like in SQL, and names that are none.
 SQL_DEFINITIONS = {
@@ -43,6 +43,7 @@ _JS_RPC = re.compile(r"\.rpc\(\s*['\"]([^'\"]+)")
 _JS_TABLE = re.compile(r"\.from\(\s*['\"]([\w.]+)['\"]\s*\)((?:\s*\.\w+\([^()]*\))*)")
 _JS_INVOKE = re.compile(r"\.functions\s*\.invoke\(\s*['\"]([^'\"]+)")
 _NO_CALL = frozenset("if for while switch catch function return typeof await super constructor import new throw".split())
+_BRACE = re.compile(r"[{}]")
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
 ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 
@@ -89,7 +90,7 @@ def extract_sql(text: str) -> tuple[list[tuple], list[tuple]]:
             edges.append((_owner(spans, m.start(), "<script>"), "calls_sql", name, line(m.start()), None, "lexical"))
     for m in _SQL_TABLE.finditer(text):
         name, operation = m.group(2), re.sub(r"\s+", " ", m.group(1).lower())
-        if name.lower() not in SQL_TABLE_STOP and not (operation == "from" and re.search(r"extract\s*\([^()]*$", text[: m.start()][-60:], re.I)):
+        if name.lower() not in SQL_TABLE_STOP and not (operation == "from" and re.search(r"extract\s*\([^()]*$", text[max(0, m.start() - 60) : m.start()], re.I)):
             edges.append((_owner(spans, m.start(), "<script>"), "accesses_table", name, line(m.start()), operation, "lexical"))
     return symbols, edges
 
@@ -101,10 +102,10 @@ def _block_end(text: str, offset: int) -> int:
     if open_at < 0 or (0 <= stop < open_at and text[offset:open_at].count("\n") > 8):
         return stop if stop >= 0 else len(text)
     depth = 0
-    for m in re.finditer(r"[{}]", text[open_at:]):
+    for m in _BRACE.finditer(text, open_at):
         depth += 1 if m.group() == "{" else -1
         if depth == 0:
-            return open_at + m.end()
+            return m.end()
     return len(text)
 
 
@@ -169,7 +170,7 @@ def _extract(what: int):
     names = [c.split()[0] for c in (SYMBOLS, EDGES)[what].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in each_block(batches):
+        for blocks in each_block(batches, WHOLE):
             rows = [(project, path, *row) for project, path, _, _, text in blocks for row in (extract_sql if path.lower().endswith(".sql") else extract_script)(text)[what]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
@@ -177,11 +178,15 @@ def _extract(what: int):
 
 
 def _sources(chunks: DataFrame) -> DataFrame:
-    return windows_by_block(chunks.where(F.col("path").rlike(r"(?i)\.(sql|tsx?|mts|cts|jsx?|mjs|cjs)$")))
+    # Owners, bindings and local names hold for a whole file, so its text comes in one piece, however many blocks it has.
+    return windows_by_block(chunks.where(F.col("path").rlike(r"(?i)\.(sql|tsx?|mts|cts|jsx?|mjs|cjs)$")), WHOLE)
 
 
 def extract_symbols(chunks: DataFrame) -> DataFrame:
-    """Symbols of all SQL, TypeScript and JavaScript files of chunks; files of other endings and null contents hold none."""
+    """Symbols of all SQL, TypeScript and JavaScript files of chunks; files of other endings and null contents hold none.
+
+    A task holds a file at a time, whole; lines count from 1 in the file.
+    """
     return _sources(chunks).mapInArrow(_extract(0), SYMBOLS).where("name <> ''")
 
 

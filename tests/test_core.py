@@ -255,6 +255,22 @@ def test_script_extraction(spark):
     assert [r.target_path for r in extract.resolve_imports(extract.extract_edges(df), df).collect()] == ["src/lib/index.ts"]
 
 
+def test_extraction_of_long_files(spark):
+    """A file of several blocks gives what extracting its text as a whole gives."""
+    script = 'import { a } from "./lib";\nexport function near() {\n  return a(1);\n}\nexport function wide() {\n' + "  a(2);\n" * 9000 + "}\nexport function far() {\n  return near() + a(3);\n}\n"
+    sql = "create table t (\n" + "  a int,\n" * 5000 + "  b int\n);\ncreate function f() returns int as $$\n" + "select 1;\n" * 5000 + "select g(1) from t;\n$$ language sql;\n"
+    lines = {"x.ts": script.split("\n"), "y.sql": sql.split("\n")}
+    rows = [chunk(k * 1000 + at, "p", path, at + 1, "\n".join(own[at : at + 120])) for k, (path, own) in enumerate(lines.items()) for at in range(0, len(own), 100)]
+    df = spark.createDataFrame(rows, CHUNKS)
+    want = [extract.extract_script(script), extract.extract_sql(sql)]
+    symbols = sorted(tuple(r)[1:] for r in extract.extract_symbols(df).collect())
+    assert symbols == sorted((path, *s) for path, (own, _) in zip(lines, want) for s in own)
+    assert {(s[2], s[4], s[5]) for s in symbols} >= {("wide", 5, 9006), ("far", 9007, 9009), ("f", 5004, 10006)} and [s[2] for s in symbols].count("<module>") == 1
+    edges = sorted((tuple(r)[1:] for r in extract.extract_edges(df).collect()), key=str)
+    assert edges == sorted(((path, *e) for path, (_, own) in zip(lines, want) for e in own), key=str)
+    assert {("wide", "a", 9005, "import_resolved"), ("far", "near", 9008, "same_file"), ("f", "g", 10005, "lexical")} <= {(e[1], e[3], e[4], e[6]) for e in edges}
+
+
 # -- sources and streams
 def test_scan_tree(spark, tmp_path):
     for name, data in {"tracked.ts": b"const a = 1;", "sub/new.md": b"# x", ".env": b"A=1", "bad.ts": b"\xff\xfe\x00", "node_modules/m.js": b"x", "notes.bin": b"x", "app.env.example": b"A="}.items():
