@@ -29,11 +29,14 @@ def build(cores: int | str = "*", name: str = "quernstone", **conf: str) -> Spar
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably and return it with its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without one
-    (a test) gets a temporary folder. Never localCheckpoint: its blocks die with an executor.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without one (a test) gets a
+    temporary folder, and a session on a cluster without one is refused, since its executors share no machine's folder. Never
+    localCheckpoint: its blocks die with an executor.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernstone-checkpoint-"))
     return df.checkpoint(eager=True)

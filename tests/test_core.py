@@ -84,6 +84,14 @@ def test_windows_make_whole_files(spark):
     assert files.windows_by_block(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_a_long_window_is_shuffled_once(spark):
+    text = "\n".join(f"line {i}" for i in range(1, 30_001))
+    df = spark.createDataFrame([chunk(1, "p", "a.py", 1, text), chunk(2, "p", "a.py", 90, "other\nother")], CHUNKS)
+    rows = sorted(files.windows_by_block(df).collect(), key=lambda r: r.block)
+    assert len(rows) == 8 and sum(len(t) for r in rows for t in r.texts) < len(text) + 100
+    assert "\n".join(files.join_windows(list(r.starts), list(r.texts), r.block)[1] for r in rows) == text
+
+
 # -- skew
 def test_tree_aggregate(spark):
     rows = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"), (F.col("id") % 97).alias("v"), "id", F.lit(1).alias("__piece"))
