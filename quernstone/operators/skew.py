@@ -80,20 +80,27 @@ def chunks_for(rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
     return max(1, math.ceil(rows / chunk_rows))
 
 
+def once_by_id(df: DataFrame, id_column: str, values: dict[str, Column]) -> DataFrame:
+    """__h and the values: one row per id, and each row without id as a row of its own. __h spreads the rows evenly.
+
+    Rows of one id whose values differ count by their least value. A row without id is named by its place in the scan, which a
+    repeated task finds again, so such rows neither meet in one group nor change when a stage is run anew.
+    """
+    own = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id())
+    rows = df.select(F.col(id_column).alias("__id"), own.alias("__own"), *[v.alias(name) for name, v in values.items()])
+    once = rows.groupBy("__id", "__own").agg(*[F.min(name).alias(name) for name in values])
+    return once.select(F.xxhash64("__id", "__own").alias("__h"), *values)
+
+
 def heavy_keys(df: DataFrame, id_column: str, fields: list[str], share: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """field, key_value, n: the values of each field that hold at least ``share`` of all rows, each id counted once.
 
-    Rows are first made distinct by id (spread evenly, combined on the map side); rows without id count as rows of their
-    own. The fields are then turned into rows (field, value), so one tree serves all of them. Null values of a field are no
-    key, yet count in the total. Rows of one id whose values differ count by their least value. A total of 0 gives no rows.
+    Rows are first made distinct by id (see once_by_id). The fields are then turned into rows (field, value), so one tree serves
+    all of them. Null values of a field are no key, yet count in the total. A total of 0 gives no rows.
     """
-    named = [f"__v{k}" for k in range(len(fields))]
-    # A row without id gets a key of its own; the second column is null for all others.
-    own = df.select(F.col(id_column).alias("__id"), F.when(F.col(id_column).isNull(), F.uuid()).alias("__own"), *[F.col(f).alias(v) for f, v in zip(fields, named, strict=True)])
-    once = own.groupBy("__id", "__own").agg(*[F.min(v).alias(v) for v in named])
-    long = once.select(F.xxhash64("__id", "__own").alias("__h"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("key_value")) for f, v in zip(fields, named, strict=True)])).alias("__kv")).select("__h", "__kv.*")
-    rows = df.count()
-    counts = tree_aggregate(long, ["field", "key_value"], [count_rows()], chunks_for(rows, chunk_rows), F.col("__h"))
+    once = once_by_id(df, id_column, {f"__v{k}": F.col(f) for k, f in enumerate(fields)})
+    long = once.select("__h", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__v{k}").cast("string").alias("key_value")) for k, f in enumerate(fields)])).alias("__kv")).select("__h", "__kv.*")
+    counts = tree_aggregate(long, ["field", "key_value"], [count_rows()], chunks_for(df.count(), chunk_rows), F.col("__h"))
     # One row per field: at most len(fields) rows, whatever the data hold.
     totals = counts.groupBy("field").agg(F.sum("n").alias("__total"))
     return counts.join(F.broadcast(totals), "field").where(F.col("key_value").isNotNull() & (F.col("n") >= F.ceil(F.col("__total") * share - 1e-9))).select("field", "key_value", "n")

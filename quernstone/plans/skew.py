@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators.skew import chunks_for, count_rows, distinct_estimate, heavy_keys, maximum, minimum, tree_aggregate
+from quernstone.operators.skew import chunks_for, count_rows, distinct_estimate, heavy_keys, maximum, minimum, once_by_id, tree_aggregate
 from quernstone.tables import table
 
 
@@ -16,16 +16,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_target_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Per project and target name: edges (each id once) and the span of their lines."""
     edges = table(spark, folder, "edges")
-    once = edges.groupBy("id").agg(F.min("project").alias("project"), F.min("target_name").alias("target_name"), F.min("line").alias("line"))
+    once = once_by_id(edges, "id", {c: F.col(c) for c in ("project", "target_name", "line")})
     measures = [count_rows("edges"), minimum("line", "first_line"), maximum("line", "last_line")]
-    return tree_aggregate(once, ["project", "target_name"], measures, chunks_for(edges.count()), F.xxhash64("id"))
+    return tree_aggregate(once, ["project", "target_name"], measures, chunks_for(edges.count()), F.col("__h"))
 
 
 def p6_sources_per_target(spark: SparkSession, folder: str) -> DataFrame:
     """Per target name: edges and an estimate of how many files they come from, by mergeable sketches."""
     edges = table(spark, folder, "edges")
-    rows = edges.groupBy("id").agg(F.min("target_name").alias("target_name"), F.min(F.concat_ws("\x1f", "project", "source_path")).alias("source"))
-    return tree_aggregate(rows, ["target_name"], [count_rows("edges"), distinct_estimate("source", "sources")], chunks_for(edges.count()), F.xxhash64("id"))
+    rows = once_by_id(edges, "id", {"target_name": F.col("target_name"), "source": F.concat_ws("\x1f", "project", "source_path")})
+    return tree_aggregate(rows, ["target_name"], [count_rows("edges"), distinct_estimate("source", "sources")], chunks_for(edges.count()), F.col("__h"))
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_target_stats, p6_sources_per_target)}
@@ -38,6 +38,7 @@ ORACLE_SQL = {
         having count(*) >= 0.03 * (select count(*) from e)""",
     "p6_target_stats": """
         select project, target_name, count(*) edges, min(line) first_line, max(line) last_line
-        from (select id, min(project) project, min(target_name) target_name, min(line) line from edges group by id) e
+        from (select id, min(project) project, min(target_name) target_name, min(line) line from edges where id is not null group by id
+              union all select id, project, target_name, line from edges where id is null) e
         group by project, target_name""",
 }
