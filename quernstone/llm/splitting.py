@@ -54,28 +54,59 @@ def snap(text: str, target: int, low: int, high: int) -> int:
     if best is not None:
         return best[2]
     for pattern in _WITHIN:
-        places = [p for m in pattern.finditer(text, max(0, low - 1), high) if low <= (p := m.end()) <= high]
+        places = [p for m in pattern.finditer(text, max(0, low - 1), high) if low <= (p := m.end()) <= high and not joined(text, p)]
         if places:
             return min(places, key=lambda p: (abs(p - target), p))
-    while target > low and unicodedata.combining(text[target]):
-        target -= 1
-    return target
+    return whole_place(text, target, low)
+
+
+def joined(text: str, at: int) -> bool:
+    """Whether the character at ``at`` belongs to the one before it: CR LF, marks, joiners, modifiers, halves of flags."""
+    if at <= 0 or at >= len(text):
+        return False
+    before, c = text[at - 1], text[at]
+    if c == "\n":
+        return before == "\r"
+    if c.isascii():
+        return False
+    if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Mc") or c in "\u200d\ufe0e\ufe0f" or before == "\u200d" or "\U0001f3fb" <= c <= "\U0001f3ff" or "\U000e0020" <= c <= "\U000e007f":
+        return True
+    if "\U0001f1e6" <= c <= "\U0001f1ff":
+        flags = at
+        while flags > 0 and "\U0001f1e6" <= text[flags - 1] <= "\U0001f1ff":
+            flags -= 1
+        return (at - flags) % 2 == 1
+    return False
+
+
+def whole_place(text: str, at: int, low: int) -> int:
+    """``at``, or the nearest place before it that parts no character from its marks; ``at`` if there is none down to ``low``."""
+    place = at
+    while place > low and joined(text, place):
+        place -= 1
+    return at if joined(text, place) else place
 
 
 def back(text: str, cut: int, floor: int, room: int) -> int:
-    """Where the piece behind a cut begins: up to OVERLAP_LINES lines earlier, or OVERLAP_CHARS within a line, and ``room`` at most."""
-    if text[cut - 1] != "\n":
-        line = text.rfind("\n", 0, cut) + 1
-        return max(floor, line, cut - min(OVERLAP_CHARS, room))
-    start, at = cut, cut
-    for _ in range(OVERLAP_LINES):
-        at = text.rfind("\n", 0, at - 1) + 1 if at > 0 else 0
-        if at < floor or cut - at > room:
-            break
-        start = at
-        if at == 0:
-            break
-    return start
+    """Where the piece behind a cut begins: up to OVERLAP_LINES lines earlier as far as there is room, or, where the line before
+    the cut has none or the cut lies within a line, OVERLAP_CHARS earlier in that line."""
+    start = cut
+    if text[cut - 1] == "\n":
+        at = cut
+        for _ in range(OVERLAP_LINES):
+            at = text.rfind("\n", 0, at - 1) + 1 if at > 0 else 0
+            if at < floor or cut - at > room:
+                break
+            start = at
+            if at == 0:
+                break
+    if start < cut:
+        return start
+    line = text.rfind("\n", 0, cut - 1) + 1
+    start = place = max(floor, line, cut - min(OVERLAP_CHARS, room))
+    while place < cut and joined(text, place):
+        place += 1
+    return place if place < cut else start
 
 
 def split_text(text: str, limit: int = LIMIT) -> list[tuple[int, int, int]]:
