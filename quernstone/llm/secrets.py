@@ -2,7 +2,8 @@
 
 Literals near assignment contexts (an assignment, a header, a connection string, a password clause, a call's argument) are
 segmented by Viterbi into dictionary words and unexplained rest. A long rest is a secret; in a context that names a secret a
-value that people choose is one too. Placeholders, references, hashes, identifiers, public keys and data are not.
+value that people choose is one too. Placeholders, references, hashes, identifiers, public keys and data are not. The dictionary
+is made of common words and of the words that files of several projects hold, each with a cost by how many chunks hold it.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,21 +28,93 @@ REST_ALONE, REST_NAMED = 14, 5
 #: Longer literals are data unless their name says secret; longer lines are looked at place by place.
 LONGEST, LONG_LINE = 400, 4000
 
+#: Words that the dictionary takes from the texts: in how many projects they have to be, their letters, and how many at most.
+WORD_PROJECTS, WORD_LETTERS, MOST_WORDS = 3, (4, 20), 20_000
+
 # Common words of code and of passwords that people choose.
 _WORDS = frozenset(
-    """access account action active admin alert alpha amount anchor api app apply archive array assign async auth authority base batch beacon beta blue body booking branch build bundle
-    button cache call cancel carrier cell chunk citation claim class client closed code cohort collect color command commit config connect content core count coupon create css current cursor
-    custom data database date debug default delete dense deposit detail dev diff digest disabled dist document draft edge email enabled encoding entry error event example expand export fail false
-    fetch field file filter find first flag folder folio form format frozen function generation get global grid group guest handler hash header hidden home host html http icon image import
-    index info inner input internal invoice item job json label lane last late layout lease ledger left length level lexical lib line link list load local lock log login long main manifest map
-    master max merge message meta meter method min mode model module name nested next node note null number object offset open option order outbox output owner pack pad page pallet parcel
-    partial password patch path payout pending pool port post prefix primary private process prod profile project public publish purge query queue quota random rank reading ready reconcile
-    record refund release remote render replay report request reset resolve response result retry review right role room root roster route row rule run sample schema score script search secret
-    select sensor server service session settle shard shared shift signed simple size snapshot source sparse split stack stale start state static status stock store stream string style success
-    sync symbol system table target task tariff temp test text ticket time title token total trace true type undefined unit update upload url user utf validate value version view voucher
-    warehouse web webhook wide width window work worker write""".split()
+    """access account action active admin alert alpha amount anchor api app apply archive array assign async auth authority base batch beta blue body book branch build button cache call cancel card case cell chunk
+    claim class client close cloud code color command commit config connect content core count create css current custom data database date debug default delete demo deploy detail dev diff digest disabled document
+    dragon edge email enabled end entry env error event example export fail false fetch field file filter find first flag folder form format function get global group guest handler hash header hello hidden home host
+    html http icon image import index info inner input internal item job json key label lane last layout left length letmein level lib line link list load local lock log login long main manager map master max merge
+    message meta method min mode model module monkey name nested network next node note null number object offset open option order outer output owner pad page part partial pass password patch path pin pool port post
+    prefix primary private process prod product profile project public publish query queue random rank read ready record release remote replay report request reset result retry review right role room root route row rule run sample schema
+    score script search secret select server service session set shared shift signed simple size source split stack start state static status stock store stream string style success summer sync system table target
+    task team temp test text ticket time title token total trace true type unit update upload url use user utf value version view web webhook welcome wide width window winter work worker write zone""".split()
 )
-_LONGEST_WORD = max(map(len, _WORDS))
+_UNIT_COST = math.log(40)
+
+
+class Dictionary:
+    """Words with their costs; ``counts`` are those of words in the texts, of ``total`` occurrences. Character costs are 1."""
+
+    def __init__(self, counts: dict[str, int] | None = None, total: int = 0):
+        usual = math.log(2000) / _UNIT_COST
+        self.costs = {w: min(usual, len(w) - 0.5) for w in _WORDS}
+        for word, n in (counts or {}).items():
+            self.costs[word] = min(self.costs.get(word, len(word) - 0.5), max(0.5, math.log(total / n) / _UNIT_COST))
+        self.longest = max(map(len, self.costs))
+        self.unexplained = lru_cache(maxsize=50_000)(self._unexplained)
+
+    def _unexplained(self, value: str) -> int:
+        """Characters outside words, plain numbers and separators, by the segmentation of least cost.
+
+        Viterbi over positions: a word costs what its frequency says, an unexplained character 1, a run of up to four digits 1, a
+        separator 0.2. Case doesn't matter. The result counts the unexplained characters on the best path.
+        """
+        text = value.lower()
+        n = len(text)
+        best = [(0.0, 0)] + [(float("inf"), 0)] * n
+        for i in range(n):
+            cost, rest = best[i]
+            c = text[i]
+            plain = c.isalnum()
+            steps = [(i + 1, cost + (1 if plain else 0.2), rest + plain)]
+            if c.isdigit():
+                j = i + 1
+                while j < n and j < i + 4 and text[j].isdigit():
+                    j += 1
+                if j == n or not text[j].isdigit():
+                    steps.append((j, cost + 1, rest))
+            elif c.isalpha():
+                for j in range(i + 3, min(n, i + self.longest) + 1):
+                    if (word := self.costs.get(text[i:j])) is not None:
+                        steps.append((j, cost + word, rest))
+            for j, to, left in steps:
+                if (to, left) < best[j]:
+                    best[j] = (to, left)
+        return best[n][1]
+
+
+#: The dictionary that this worker looks words up in, by what it was made of.
+_DICTIONARY: dict[str, Dictionary] = {"": Dictionary()}
+
+
+def use_words(key: str, counts: dict[str, int]) -> None:
+    """Look words up in a dictionary with these counts from now on; key tells dictionaries apart."""
+    if key not in _DICTIONARY:
+        made = Dictionary(counts, max(1, sum(counts.values())))
+        _DICTIONARY.clear()
+        _DICTIONARY[key] = made
+
+
+def unexplained(value: str) -> int:
+    """Characters of a value that no segmentation into the dictionary's words explains."""
+    return next(iter(_DICTIONARY.values())).unexplained(value)
+
+
+def words_of(chunks: DataFrame) -> dict[str, int]:
+    """The words that several projects hold, with the number of chunks that hold each: of MOST_WORDS words those of most projects.
+
+    A secret's random letters don't recur in several projects, its words do. All chunks count; copies of a chunk count once.
+    """
+    low, high = WORD_LETTERS
+    texts = chunks.where("content is not null and project is not null").select("project", F.xxhash64("content").alias("text"), F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(rf"[A-Za-z][a-z]{{{low - 1},{high - 1}}}(?![a-z])"), F.lit(0)), F.lower)).alias("words"))
+    held = texts.select("project", "text", F.explode("words").alias("word")).groupBy("word", "project").agg(F.approx_count_distinct("text", 0.1).alias("n"))
+    common = held.groupBy("word").agg(F.count(F.lit(1)).alias("projects"), F.sum("n").alias("n")).where(F.col("projects") >= WORD_PROJECTS)
+    rows = common.orderBy(F.desc("projects"), F.desc("n"), "word").limit(MOST_WORDS).collect()
+    return {r["word"]: int(r["n"]) for r in rows}
+
 
 # Names of things that hold secrets.
 _NAME = (
@@ -72,11 +147,13 @@ _SPLIT = re.compile(r"[\"'`]\s*(?:\+|\.|\\)?\s*$")
 # Values that stand for a secret or refer to one.
 _PLACEHOLDER = re.compile(
     r"^$|^<[^<>]*>$|[<>]|\$\{|\$\(|^\$\w|\{\{|^%|%\(|^(?:x{4,}|\*{3,}|\.{3,}|-+|_+|0+|1234\w*)$|"
-    r"^(?:replace|change|fill|insert|enter|put|set)[ _-]?(?:me|this|in|it|here|your)?|^(?:your|my|the|some|dummy|fake|example|sample|placeholder|todo|tbd|none|null|nil|undefined|true|false|redacted|secret|password|token|changeit|test|string|bearer|basic)(?:[ _-].*)?$|"
+    r"^(?:replace|change|fill|insert|enter|put|set)[ _-]?(?:me|this|in|it|here|your)?|"
     r"\b(?:example|placeholder|redacted|your[-_ ])|process\.env|os\.environ|getenv|vault|secret_?manager|readSecret|^(?:env|file|vault|ssm|arn|op|aws|gcp|secret):",
     re.I,
 )
 _HASHES = re.compile(r"^(?:(?:sha(?:1|224|256|384|512)|md5)[-:][\w+/=-]+|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\$(?:2[aby]|argon2\w*|5|6)\$.+|ssh-(?:rsa|ed25519) .*|#[0-9a-fA-F]{3,8})$", re.I)
+# Words that a placeholder begins with; what follows them may be a secret all the same.
+_STANDS_FOR = re.compile(r"(?:your|my|the|some|dummy|fake|example|sample|placeholder|todo|tbd|none|null|nil|undefined|true|false|redacted|secret|password|token|changeit|test|string|bearer|basic)(?:[ _-](?P<rest>.*))?$", re.I)
 # Code instead of a value.
 _CODE = re.compile(r"[(\[{]|^\w+(?:\.\w+)+$|\s(?:=|\+|\?|\|\||&&)\s|;$|,$")
 
@@ -84,47 +161,25 @@ _CODE = re.compile(r"[(\[{]|^\w+(?:\.\w+)+$|\s(?:=|\+|\?|\|\||&&)\s|;$|,$")
 _ENV_LINE, _OPEN = re.compile(r"^\s*(?:export\s+)?[A-Z][A-Z0-9_]*=\S+\s*$"), re.compile(r"[(\[{]")
 
 
-@lru_cache(maxsize=50_000)
-def unexplained(value: str) -> int:
-    """Characters outside dictionary words, plain numbers and separators, by the segmentation that explains most.
-
-    Viterbi over positions: a dictionary word costs 1 whatever its length, an unexplained character 1 each; a run of up to four
-    digits costs 1. Case doesn't matter. The result counts the unexplained characters on the best path.
-    """
-    text = value.lower()
-    n = len(text)
-    best = [(0.0, 0)] + [(float("inf"), 0)] * n
-    for i in range(n):
-        cost, rest = best[i]
-        c = text[i]
-        steps = [(i + 1, cost + (0.2 if not c.isalnum() else 1), rest + (0 if not c.isalnum() else 1))]
-        if c.isdigit():
-            j = i + 1
-            while j < n and j < i + 4 and text[j].isdigit():
-                j += 1
-            if j == n or not text[j].isalnum() or not text[j].isdigit():
-                steps.append((j, cost + 1, rest))
-        elif c.isalpha():
-            for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-                if text[i:j] in _WORDS:
-                    steps.append((j, cost + 1, rest))
-        for j, to, left in steps:
-            if (to, left) < best[j]:
-                best[j] = (to, left)
-    return best[n][1]
-
-
 def classes(value: str) -> int:
     """How many of lower case, upper case, digits and other characters the value holds."""
     return sum((bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
 
 
+def stands_for_one(value: str) -> bool:
+    """Whether a value is a placeholder: one by its form, or one that begins as such and goes on in words."""
+    if _PLACEHOLDER.search(value):
+        return True
+    m = _STANDS_FOR.match(value)
+    return bool(m) and not (m["rest"] and len(m["rest"]) >= 8 and classes(m["rest"]) >= 3 and unexplained(m["rest"]) >= REST_NAMED)
+
+
 def is_secret(value: str, named: bool, split: bool = False) -> bool:
     """Whether a literal is a credential: ``named`` if its context names a secret, ``split`` if it was put together of parts."""
     value = value.strip()
     if _KNOWN.search(value) and not re.search(r"[\[\]{}\\()*?]", value):
         return True
-    if len(value) < 6 or len(value) > LONGEST and not named or _PLACEHOLDER.search(value) or _HASHES.match(value) or re.search(r"\s", value):
+    if len(value) < 6 or len(value) > LONGEST and not named or stands_for_one(value) or _HASHES.match(value) or re.search(r"\s", value):
         return False
     if re.search(r"[\[\]{}\\]", value) or value.startswith(("/", "./", "../", "@/", "http")) and "@" not in value:
         return False
@@ -148,7 +203,7 @@ def _basic(value: str) -> bool:
     except (binascii.Error, ValueError):
         return False
     user, colon, word = plain.partition(":")
-    return bool(colon and user and len(word) >= 4 and not _PLACEHOLDER.search(word))
+    return bool(colon and user and len(word) >= 4 and not stands_for_one(word))
 
 
 # Where a credential may stand: cheap to find, looked at closely line by line. Each part is wider than the detector it stands
@@ -257,7 +312,7 @@ def _look_at(text: str, line: str, begin: int, end: int) -> tuple[str, list[tupl
 
     for m in _URL.finditer(line):
         v = m["v"]
-        if not _PLACEHOLDER.search(v) and not v.startswith("$") and v.lower() not in ("pass", "password", "pwd", "user", "secret"):
+        if not stands_for_one(v) and not v.startswith("$") and v.lower() not in ("pass", "password", "pwd", "user", "secret"):
             add("connection_string", m.start("v"), m.end("v"))
     for m in _HEADER.finditer(line):
         v = m["v"]
@@ -278,7 +333,7 @@ def _look_at(text: str, line: str, begin: int, end: int) -> tuple[str, list[tupl
             if not lits:
                 break
             parts.append((lits[-1] if at == begin else lits[0], at))
-            if not own.rstrip().endswith("+") or stop >= len(text) or len(parts) > 20:
+            if not own.rstrip().endswith("+") or stop >= len(text):
                 break
             at = stop + 1
             nxt = text.find("\n", at)
@@ -289,7 +344,7 @@ def _look_at(text: str, line: str, begin: int, end: int) -> tuple[str, list[tupl
             named = bool(a and _SECRET_NAME.search(a["name"]) and not _PLAIN_NAME.search(a["name"]))
             plain = bool(a and _PLAIN_NAME.search(a["name"]))
             inner = _URL.search(whole)
-            if not plain and ((inner and not _PLACEHOLDER.search(inner["v"])) or is_secret(whole, named, True)):
+            if not plain and ((inner and not stands_for_one(inner["v"])) or is_secret(whole, named, True)):
                 kind = kind or "split_literal"
                 spans.extend((o + p.start("v"), o + p.end("v")) for p, o in parts if not any(x <= o + p.start("v") < y for x, y in spans))
                 return kind, spans, parts[-1][1]
@@ -353,14 +408,24 @@ def redact(text: str) -> str:
     return _fill(text, [s for _, _, own in find_secrets(text) for s in own])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for blocks in each_block(batches):
-        rows = []
-        for project, path, _, first, text in blocks:
-            for line, kind, spans in find_secrets(text, first):
-                rows.append((project, path, line, kind, min(a for a, _ in spans) - (text.rfind("\n", 0, min(a for a, _ in spans)) + 1)))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["project", "path", "line", "kind", "column"])
+def _scan(key: str, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_words(key, held.value)
+        for blocks in each_block(batches):
+            rows = []
+            for project, path, _, first, text in blocks:
+                for line, kind, spans in find_secrets(text, first):
+                    rows.append((project, path, line, kind, min(a for a, _ in spans) - (text.rfind("\n", 0, min(a for a, _ in spans)) + 1)))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["project", "path", "line", "kind", "column"])
+
+    return run
+
+
+def _held_words(chunks: DataFrame) -> tuple:
+    """(key, broadcast) of the words of chunks: MOST_WORDS at most, so less than a megabyte."""
+    counts = words_of(chunks)
+    return sha256(repr(sorted(counts.items())).encode()).hexdigest(), chunks.sparkSession.sparkContext.broadcast(counts)
 
 
 def find_credentials(chunks: DataFrame) -> DataFrame:
@@ -369,7 +434,7 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
     Lines count from 1 in the file, columns from 0 in the line. Overlapping windows, repeated rows and rows of an earlier
     generation count once; null contents, projects and paths hold nothing; empty texts and tables give no rows.
     """
-    return windows_by_block(chunks).mapInArrow(_scan, "project string, path string, line int, kind string, column int")
+    return windows_by_block(chunks).mapInArrow(_scan(*_held_words(chunks)), "project string, path string, line int, kind string, column int")
 
 
 def redact_windows(starts: list[int], texts: list[str]) -> list[str]:
@@ -393,25 +458,29 @@ def redact_windows(starts: list[int], texts: list[str]) -> list[str]:
     return out
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of their file: a file's rows at a time."""
+def _clean(key: str, held):
+    """For mapInArrow over rows in order of their file: a file's rows at a time."""
 
     def done(rows: list[dict]) -> pa.RecordBatch:
         texts = redact_windows([r["s"] for r in rows], [r["content"] for r in rows]) if rows[0]["content"] is not None else [None]
         return pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.int64()), pa.array(texts, pa.string())], names=["id", "content"])
 
-    key, held = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            # Rows that belong to no file stand alone.
-            own = (r["project"], r["path"], r["generation"]) if r["whole"] else None
-            if held and (own is None or own != key):
-                yield done(held)
-                held = []
-            key = own
-            held.append(r)
-    if held:
-        yield done(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_words(key, held.value)
+        file, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                # Rows that belong to no file stand alone.
+                own = (r["project"], r["path"], r["generation"]) if r["whole"] else None
+                if rows and (own is None or own != file):
+                    yield done(rows)
+                    rows = []
+                file = own
+                rows.append(r)
+        if rows:
+            yield done(rows)
+
+    return run
 
 
 def redact_chunks(chunks: DataFrame) -> DataFrame:
@@ -426,4 +495,4 @@ def redact_chunks(chunks: DataFrame) -> DataFrame:
     start = F.greatest(F.coalesce(F.col("start_line"), F.lit(1)), F.lit(1))
     rows = chunks.select("id", "project", "path", generation.alias("generation"), whole.alias("whole"), F.when(~whole, F.col("id")).alias("alone"), start.alias("s"), "content")
     files = ["project", "path", "generation", "alone"]
-    return rows.repartition(*files).sortWithinPartitions(*files, "s").mapInArrow(_clean, "id bigint, content string")
+    return rows.repartition(*files).sortWithinPartitions(*files, "s").mapInArrow(_clean(*_held_words(chunks)), "id bigint, content string")

@@ -211,6 +211,16 @@ def test_p3_cuts_at_boundaries(spark):
     assert splitting.split_chunks(spark.createDataFrame(NO_CHUNKS, CHUNKS)).count() == 0
 
 
+def test_p3_overlaps_long_lines_and_parts_no_character():
+    long = "\n".join("x" * 1901 for _ in range(12))
+    for text in (long, "z" * 20_000, "\n".join("word " * 500 for _ in range(9))):
+        assert all(o > 0 for _, _, o in splitting.split_text(text)[1:])
+    for text in ("👩‍👩‍👧" * 2000, "🇩🇪🇫🇷" * 3000, "é" * 9000, "👍🏽" * 4000, "a\r\n" * 5000):
+        parts = splitting.split_text(text, 1000)
+        assert "".join(text[s + o : e] for s, e, o in parts) == text and all(e - s <= 1000 for s, e, _ in parts)
+        assert not any(splitting.joined(text, s) or splitting.joined(text, e) for s, e, _ in parts)
+
+
 def test_p3_oracle(spark, small):
     want = connect(small).execute(queries.ORACLE_SQL["p3_found"]).df()
     assert rows(queries.p3_found(spark, small).toPandas()) == rows(want)
@@ -331,6 +341,24 @@ def test_p5_blocks_and_parts(spark):
     assert secrets.find_credentials(spark.createDataFrame(NO_CHUNKS, CHUNKS)).count() == 0
 
 
+def test_p5_values_that_begin_like_placeholders():
+    for value in ("my-V3ry$tr0ngPw!", "test_9fK2!mQ7zLx8", "secret-8Hq2Lm9Zx1Vt", "token_8Hq2Lm9Zx1VtQ4"):
+        assert secrets.is_secret(value, True), value
+    for value in ("your-api-key-here", "your_password_goes_here", "test-user-password", "my-secret-token", "example", "token", "secret"):
+        assert not secrets.is_secret(value, True), value
+    parts = " +\n  ".join(f'"Zx81kPq{k:02d}"' for k in range(40))
+    assert "Zx81kPq39" not in secrets.redact(f"const token = {parts};\n")
+
+
+def test_p5_dictionary_comes_from_all_projects(spark):
+    rows = [(k, f"p{k % 4}", f"f{k}.ts", 1, 1, "c", "g", "const berthLedger = quayRoster;" if k < 8 else "zqxwvk") for k in range(9)]
+    counts = secrets.words_of(extra(spark.createDataFrame([*rows, rows[0], (10, None, "x", 1, 1, "c", "g", "berth"), (11, "p", "x", 1, 1, "c", "g", None)], CHUNKS)))
+    assert set(counts) == {"const", "berth", "ledger", "quay", "roster"} and all(n == 4 for n in counts.values())
+    own = secrets.Dictionary(counts, sum(counts.values()))
+    assert own.unexplained("quay-berth-roster-77") == 0 and secrets.Dictionary().unexplained("quay-berth-roster-77") > 5
+    assert secrets.words_of(spark.createDataFrame(NO_CHUNKS, CHUNKS)) == {}
+
+
 def test_p5_windows_that_begin_inside(spark):
     """A key block and a split literal are redacted in every window that holds a part of them."""
     body = [f"{k:02d}" + "Ab3+" * 14 for k in range(90)]
@@ -491,6 +519,20 @@ def test_p9_passages(spark):
     assert leaks.leaked_passages(spark.createDataFrame(NO_DOCS, DOCUMENTS), items).count() == 0
 
 
+def test_p9_markup_of_any_length_and_items_in_parts(spark, monkeypatch):
+    words = ITEM.split()
+    twelve = words[3:15]
+    long = f'<a href="https://x.test/{"q" * 3000}" title=\'y\'>'
+    texts = [" ".join([*twelve[:5], long, *twelve[5:]]), " ".join([*twelve[:5], f"[{twelve[5]}](https://x.test/{'r' * 2000}_(a))", *twelve[6:]]), " ".join(twelve[:11])]
+    items = spark.createDataFrame([(1, "s", "en", ITEM)], EVAL_ITEMS)
+    assert {r.doc_id for r in leaks.leaked_passages(docs_of(spark, *texts), items).collect()} == {0, 1}
+    scanner = leaks.Scanner([(1, leaks.folded_words(ITEM)), (2, leaks.folded_words("w " * 40))])
+    assert scanner.passages(ITEM)[1][2] == len(leaks.folded_words(ITEM)) and set(scanner.passages("w " * 12)) == {2} and not scanner.passages("w " * 11)
+    monkeypatch.setattr(leaks, "PART_WORDS", 14)
+    again = leaks.leaked_passages(docs_of(spark, ITEM, " ".join(twelve), *texts), items, item_bytes=100).collect()
+    assert {r.doc_id for r in again} == {0, 1, 2, 3}
+
+
 def test_p9_against_brute_force(spark, small):
     def shingles(text):
         w = leaks.folded_words(text)
