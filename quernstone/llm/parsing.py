@@ -3,7 +3,8 @@
 Blocks of files become lexer-state maps and bracket summaries, which combine associatively, so a file of any length is judged
 without being held in one task: a chain of states that doesn't end in code, or a bracket without partner, breaks it. Balanced
 statements are then parsed with the language's local grammar: at once where a file is one block, as nearly all are, and else
-piece by piece, in order of the blocks, with what is left open carried on to the next block.
+piece by piece, in order of the blocks, with what is left open carried on to the next block. Of Python and JSON, what the local
+grammar refuses is read once more by the language's own parser, so that nothing valid comes out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.grammar import bracket_summary, join_summaries
 from quernstone.llm.grammar_go import Go
 from quernstone.llm.grammar_js import Js
+from quernstone.llm.grammar_py import Py
 from quernstone.llm.grammar_sql import _LEX as _SQL_LEX
 from quernstone.llm.grammar_sql import Sql
 from quernstone.llm.lexing import CODE, STATES, lex
@@ -46,6 +48,29 @@ def _json(text: str) -> bool:
     return True
 
 
+# Literals of JSON as single signs, and the groups that hold values.
+_JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"')
+_JSON_VALUE = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+_JSON_GROUP = re.compile("\\{(?:\x01:[\x01\x02](?:,\x01:[\x01\x02])*+)?\\}|\\[(?:[\x01\x02](?:,[\x01\x02])*+)?\\]")
+_BLANK = dict.fromkeys(map(ord, " \t\r\n"))
+#: Rounds of folding; what is nested deeper is read token by token.
+_ROUNDS = 200
+
+
+def folds_to_value(text: str) -> bool:
+    """Whether a text is JSON: literals become signs, and every object or array that holds nothing but values a value, inside out."""
+    if "\x01" in text or "\x02" in text:
+        return False
+    shape, n = _JSON_VALUE.sub("\x02", _JSON_STRING.sub("\x01", text)).translate(_BLANK), 1
+    for _ in range(_ROUNDS):
+        shape, n = _JSON_GROUP.subn("\x02", shape)
+        if not n:
+            return shape in ("\x01", "\x02")
+    stream = JsonStream()
+    stream.feed(text)
+    return stream.end()
+
+
 def _python(text: str) -> bool:
     try:
         with warnings.catch_warnings():
@@ -61,14 +86,18 @@ def _python(text: str) -> bool:
 @lru_cache(maxsize=1)
 def _checks() -> dict:
     """The grammars, with what they have seen, of this worker."""
-    return {"ts": Js(True, False).check, "tsx": Js(True, True).check, "js": Js(False, True).check, "go": Go().check, "sql": Sql().check, "json": _json, "py": _python}
+    return {"ts": Js(True, False).check, "tsx": Js(True, True).check, "js": Js(False, True).check, "go": Go().check, "sql": Sql().check, "json": folds_to_value, "py": Py().check}
+
+
+# What a language's own parser says of a text that the grammar refuses, where there is one.
+_EXACT = {"json": _json, "py": _python}
 
 
 def is_valid(text: str, lang: str) -> bool:
     """Whether a whole text is valid: lang is a value of LANGUAGES."""
     if lang != "json" and text.startswith("﻿"):
         text = text[1:]
-    return _checks()[lang](text)
+    return _checks()[lang](text) or (lang in _EXACT and _EXACT[lang](text))
 
 
 def block_map(text: str, lang: str, state: str) -> tuple[str, str, bool]:

@@ -595,3 +595,35 @@ def test_every_query_runs_twice_alike(spark, small):
         assert a == b, name
         if name.endswith("_found"):
             assert len(a) == len(set(a)), name
+
+
+def test_p7_python_and_json_by_shapes():
+    """The local grammars agree with the languages' own parsers on sources and on sources with something wrong."""
+    import json as reader
+    import os
+    import random as chance
+    from glob import glob
+
+    from quernstone.llm.grammar_py import Py
+
+    r, py = chance.Random(3), Py()
+    sources = [open(f, encoding="utf-8").read() for f in sorted(glob(os.path.join(os.path.dirname(os.__file__), "[a-d]*.py")))[:40]]
+    sources += [
+        "match x:\n    case [1, *rest] if rest:\n        pass\n    case {'a': b}:\n        pass\n", "match = 1\ncase = match\ntype X = int\n", "try:\n    a\nexcept* E:\n    b\nelse:\n    c\nfinally:\n    d\n",
+        "if a: b\nelif c: d\nelse: e\n", "@d\n\nasync def f():\n\tasync for x in y:\n\t\tawait z\n\telse:\n\t\tpass\n", "x = f'{a!r:>{w}}' r'\\x' \\\n  if b else c\n", "for i in x:\n  if i:\n    break\nelse:\n  pass\n", "x = 1;\n", "",
+    ]
+    assert sum(not py.check(s) for s in sources) <= 3 and all(map(parsing._python, sources))
+    for bad in ("try:\n    a\nb\n", "else:\n  a\n", "@d\nx = 1\n", "if a:\nb\n", "  a\n", "def f():\n    a\n  b\n", "x = 'a\n", "f(a for a in b, c)\n", "1 = x\n", "print 'x'\n", "match a:\n    b\n", "x = b'é'\n", "if a:\n\tb\n        c\n", "f'{a b}'\n", "'\\xg'\n", "0777\n", "a ? b\n", "try:\n    a\n", "if a:\n", "x = (1]\n"):
+        assert not py.check(bad), bad
+    short = [s for s in sources if len(s) < 20_000]
+    for _ in range(1500):
+        s, lines = (s := r.choice(short)), s.split("\n")
+        at, row = r.randrange(len(s) + 1), r.randrange(len(lines))
+        s = [s[:at] + s[at + 1 :], s[:at] + r.choice("()[]{}:,='\"\\ \n\t#@*.;!?0a") + s[at:], s[:at], "\n".join(lines[:row] + lines[row + 1 :]), "\n".join([*lines[:row], " " * r.randrange(4) + lines[row], *lines[row + 1 :]])][r.randrange(5)]
+        assert parsing._python(s) or not py.check(s), s
+    for _ in range(1500):
+        s = reader.dumps({"a": [1, -2.5e3, "x\\u00e9\"", None, True, {}, []], "b": {"c": {"d": [[], {"e": "f"}]}}}, indent=r.choice([None, 1]))
+        at = r.randrange(len(s) + 1)
+        s = [s[:at] + s[at + 1 :], s[:at] + r.choice("[]{}:,\"\\ 0-.eE\x01tnul") + s[at:], s[:at], s][r.randrange(4)]
+        assert parsing.folds_to_value(s) == parsing._json(s), s
+    assert parsing.folds_to_value("[" * 5000 + "]" * 5000) and not parsing.folds_to_value("[" * 5000 + "]" * 4999)
