@@ -65,8 +65,8 @@ def _lines(model: str, dimension: int, what: int, n: int):
     return np.random.default_rng(seed).standard_normal((n, dimension)).astype(np.float32)
 
 
-def _enter(similarity: float):
-    """For mapInArrow: each vector's entries (model, dimension, table, cell, class, places) in every table."""
+def _sign(similarity: float):
+    """For mapInArrow: each vector's cell in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -75,26 +75,18 @@ def _enter(similarity: float):
         for batch in batches:
             column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             kinds = list(zip(column["model"].to_pylist(), column["dimension"].to_pylist(), column["bits"].to_pylist(), strict=True))
-            classes = column["class"].to_pylist()
-            vectors = column["vector"].to_pylist()
+            cells: list = [None] * batch.num_rows
             for kind in set(kinds):
                 own = [k for k, other in enumerate(kinds) if other == kind]
                 model, dimension, bits = kind
-                v = np.array([vectors[k] for k in own], dtype=np.float64)
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
                 tables = tables_for(bits, similarity)
                 if kind not in lines:
-                    lines[kind] = _lines(model, dimension, 0, PROJECTIONS), _lines(model, dimension, 1, max(1, tables * bits))
-                places = (v @ lines[kind][0].T).astype(np.float32)
-                signs = (v @ lines[kind][1].T > 0).astype(np.int64)
-                weights = 1 << np.arange(bits, dtype=np.int64)
-                blobs = [p.tobytes() for p in places]
-                for table in range(tables):
-                    cells = signs[:, table * bits : (table + 1) * bits] @ weights if bits else np.zeros(len(own), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([model] * len(own), pa.string()), pa.array([dimension] * len(own), pa.int32()), pa.array([table] * len(own), pa.int32()), pa.array(cells, pa.int64()), pa.array([classes[k] for k in own], pa.binary()), pa.array(blobs, pa.binary())],
-                        names=["model", "dimension", "table", "cell", "class", "places"],
-                    )
+                    lines[kind] = _lines(model, dimension, 1, max(1, tables * bits))
+                v = column["vector"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dimension)
+                signs = (v @ lines[kind].T > 0).astype(np.int64)
+                for k, numbers in zip(own, (signs.reshape(len(own), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(own), 1), dtype=np.int64)).tolist(), strict=True):
+                    cells[k] = numbers
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in ("model", "dimension", "class", "vector")), pa.array(cells, pa.list_(pa.int64()))], names=["model", "dimension", "class", "vector", "cells"])
 
     return run
 
@@ -143,47 +135,61 @@ def count_collisions(places, half_widths: list[float], collisions: int = COLLISI
     return a, b
 
 
-def _pairs(half_widths: list[float]):
-    """For mapInArrow over entries sorted by cell and block: candidate pairs of classes."""
+def _near(half_widths: list[float], k: int, similarity: float):
+    """For mapInArrow over entries sorted by cell and block: of every vector its k nearest of the cell that collide often enough.
+
+    A cell of n vectors yields k rows for each of them at most, however many of them are alike. Rows beyond a vector's k nearest of
+    a cell can't be among its k nearest of all.
+    """
+    names = ["a", "b", "cosine"]
+
+    def nearest_of(places, v, classes: list[bytes], left: int | None) -> pa.RecordBatch | None:
+        import numpy as np
+
+        i, j = count_collisions(places, half_widths, left=left)
+        cosines = np.concatenate([np.einsum("ij,ij->i", v[i[at : at + 65_536]], v[j[at : at + 65_536]]) for at in range(0, len(i), 65_536)]) if len(i) else np.zeros(0)
+        fits = cosines >= similarity
+        if not fits.any():
+            return None
+        i, j, cosines = i[fits], j[fits], cosines[fits]
+        own, other, cosines = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([cosines, cosines])
+        rank = np.empty(len(classes), dtype=np.int64)
+        rank[sorted(range(len(classes)), key=classes.__getitem__)] = np.arange(len(classes))
+        order = np.lexsort((rank[other], -cosines, own))
+        own, other, cosines = own[order], other[order], cosines[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        kept = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < k
+        return pa.RecordBatch.from_arrays([pa.array([classes[x] for x in own[kept]], pa.binary()), pa.array([classes[x] for x in other[kept]], pa.binary()), pa.array(cosines[kept], pa.float64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        lines: dict = {}
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
+                vectors = batch.column(8)
+                flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+                others = [batch.column(c).to_pylist() for c in range(8)]
+                for at, head in enumerate(zip(*others, strict=True)):
+                    yield *head, flat[starts[at] : starts[at + 1]]
 
-        out: list[tuple[bytes, bytes]] = []
-        names = ["model", "dimension", "a", "b"]
         for (model, dimension, _, _, one, two), own in groupby(rows(), key=itemgetter(0, 1, 2, 3, 4, 5)):
-            # own: (..., block of the row, class, places); of a pair of blocks only pairs across count.
-            members = sorted((r[6], r[7], r[8]) for r in own)
+            # own: (..., block of the row, class, vector); of a pair of blocks only pairs across count.
+            members = sorted(((r[6], r[7], r[8]) for r in own), key=itemgetter(0, 1))
             if len(members) < 2:
                 continue
-            places = np.frombuffer(b"".join(x[2] for x in members), dtype=np.float32).reshape(len(members), -1)
-            left = None if one == two else sum(x[0] == one for x in members)
-            a, b = count_collisions(places, half_widths, left=left)
-            classes = [x[1] for x in members]
-            out.extend((classes[i], classes[j]) if classes[i] < classes[j] else (classes[j], classes[i]) for i, j in zip(a.tolist(), b.tolist(), strict=True))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(out), pa.string()), pa.array([dimension] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=names)
-                out = []
+            if (model, dimension) not in lines:
+                lines[model, dimension] = _lines(model, dimension, 0, PROJECTIONS)
+            v = np.stack([x[2] for x in members]).astype(np.float64)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            found = nearest_of((v.astype(np.float32) @ lines[model, dimension].T).astype(np.float32), v, [x[1] for x in members], None if one == two else sum(x[0] == one for x in members))
+            if found is not None:
+                yield found
 
     return run
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    for batch in batches:
-        u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        out = []
-        for x, y in zip(u, v, strict=True):
-            x, y = np.array(x, dtype=np.float64), np.array(y, dtype=np.float64)
-            out.append(float(x @ y / math.sqrt(float(x @ x) * float(y @ y))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "cosine"])
-
-
 def top_per(df: DataFrame, key: str, order: list, k: int, spread: str, salts: int = 16) -> DataFrame:
     """The first k rows of each key: ranked within salted parts first, so that a hot key isn't ranked in one task."""
     salted = Window.partitionBy(key, F.pmod(F.xxhash64(spread), F.lit(salts))).orderBy(*order)
@@ -198,26 +204,27 @@ def similar_pairs(embeddings: DataFrame, k: int = 10, similarity: float = 0.9) -
     of which one is hashed; ties rank by chunk_id. Repeated rows count once, an empty table gives no rows. About 1 % of the
     pairs that are just at ``similarity`` may be missed, far fewer of closer ones; no pair below it comes out.
     """
-    vectors = cut(clean_vectors(embeddings).withColumn("class", F.unhex(F.sha2(F.concat_ws(",", "model", "dimension", F.transform("vector", lambda x: x.cast("string"))), 256))))
+    vectors = cut(clean_vectors(embeddings).withColumn("class", F.unhex(F.substring(F.sha2(F.concat_ws(",", "model", "dimension", F.transform("vector", lambda x: x.cast("string"))), 256), 1, 32))))
     classes = vectors.groupBy("model", "dimension", "class").agg(F.first("vector").alias("vector"))
     sizes = classes.groupBy("model", "dimension").agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(CELL))))).cast("int")
-    sized = cut(classes.join(sizes.select("model", "dimension", bits.alias("bits")), ["model", "dimension"]))
-    entries = sized.select("model", "dimension", "bits", "class", "vector").mapInArrow(_enter(similarity), "model string, dimension int, table int, cell bigint, class binary, places binary")
+    sized = classes.join(sizes.select("model", "dimension", bits.alias("bits")), ["model", "dimension"])
+    hashed = cut(sized.select("model", "dimension", "bits", "class", "vector").mapInArrow(_sign(similarity), "model string, dimension int, class binary, vector array<float>, cells array<bigint>"))
     where = ["model", "dimension", "table", "cell"]
+    entries = hashed.select("model", "dimension", "class", "vector", F.posexplode("cells").alias("table", "cell"))
     # Cells beyond the bound, seldom any: blocks of half the bound, every pair of them in a task of its own.
-    large = entries.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_MOST).select(*where, F.ceil(F.col("n") / F.lit(CELL_MOST / 2)).cast("int").alias("blocks"))
-    blocked = entries.join(large, where, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.lit(0)))
-    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = blocked.withColumn("other", F.explode(others)).select(*where, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class", "places")
+    large = cut(entries.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_MOST).select(*where, F.ceil(F.col("n") / F.lit(CELL_MOST / 2)).cast("int").alias("blocks")))
+    zero = F.lit(0).alias
+    if large.isEmpty():
+        spread = entries.select(*where, zero("one"), zero("two"), zero("block"), "class", "vector")
+    else:
+        blocked = entries.join(large, where, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.lit(0)))
+        others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        spread = blocked.withColumn("other", F.explode(others)).select(*where, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class", "vector")
     grouped = spread.repartition(*where, "one", "two").sortWithinPartitions(*where, "one", "two")
     distance = math.sqrt(2 - 2 * similarity)
-    candidates = grouped.mapInArrow(_pairs([WIDTH * distance * x for x in LEVELS]), "model string, dimension int, a binary, b binary").select("a", "b").distinct()
-    left, right = sized.select(F.col("class").alias("a"), F.col("vector").alias("u")), sized.select(F.col("class").alias("b"), F.col("vector").alias("v"))
-    checked = candidates.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(_cosines, "a binary, b binary, cosine double").where(F.col("cosine") >= similarity)
-    checked = cut(checked)
-    both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    nearest = top_per(both, "a", [F.desc("cosine"), F.asc("b")], k, "b").select("a", "b", "cosine")
+    found = grouped.mapInArrow(_near([WIDTH * distance * x for x in LEVELS], k, similarity), "a binary, b binary, cosine double")
+    nearest = top_per(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "a", [F.desc("cosine"), F.asc("b")], k, "b").select("a", "b", "cosine")
     # Members: of each class the first k + 1 are enough as neighbours.
     firsts = top_per(vectors.select("class", "chunk_id"), "class", [F.asc("chunk_id")], k + 1, "chunk_id").select(F.col("class").alias("b"), F.col("chunk_id").alias("neighbour"))
     own = vectors.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("cosine"))
