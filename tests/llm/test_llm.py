@@ -554,6 +554,9 @@ def test_p10_labels():
     assert [residue.label(t) for t in holder] == ["placeholder"] * len(holder)
     assert [residue.label(t) for t in filler] == ["filler"] * len(filler)
     assert [residue.label(t) for t in fine] == [None] * len(fine)
+    own = ["HTTP Status 404 - Not Found\nThe origin server did not find a current representation for the target resource or is not willing to disclose that one exists.\nApache Tomcat/9.0.1", "Error establishing a database connection", "Your browser does not support JavaScript.", "Please turn JavaScript on and reload the page.", "This site can't be reached\nexample.com refused to connect."]
+    assert [residue.label(t) for t in own] == ["page"] * len(own)
+    assert residue.label("Dear [Name],\nthank you for your order [Order Number].") == "placeholder" and residue.label("We keep the array [Name] in the config, see [Issue 12] and [docs](http://x).") is None
 
 
 def test_p10_spreads_to_likenesses(spark):
@@ -571,7 +574,8 @@ def test_p10_tables_find_likenesses():
     """Recall of the tables over pairs of a shingle similarity of about 0.8 to 0.95."""
     r = random.Random(4)
     hit = total = 0
-    tables = residue._tables()
+    tables = residue._tables(residue.LEAST_KEY_BITS)
+    assert [residue.key_bits(n) for n in (0, 10**5, 2**20, 10**9)] == [16, 16, 16, 26] and residue.tables_for(16) == 32 < residue.tables_for(26)
     for _ in range(150):
         words = [f"w{r.randrange(10**6)}" for _ in range(200)]
         other = list(words)
