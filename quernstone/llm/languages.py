@@ -29,10 +29,19 @@ _FUNCTION_WORDS = {
     "fr": "le la les un une des du de l d que qu et ou en est sont etait ne pas plus par pour avec sans sur comme mais quand si ce cet cette ces se sa son ses leur aux au dans il elle on nous vous doit doivent etre ete a ont lorsque jamais tant parce aussi meme tout toute chaque apres avant c s y n j jusqu seulement",
     "pt": "o a os as um uma uns de do da dos das no na nos nas que e ou em se nao por para com sem sobre como mais mas quando ate porque embora enquanto so somente cada todo toda esta este isto estes ja seu sua ao aos pelo pela ser foi sao tem deve devem pode nunca antes depois mesmo que isso nem onde quem",
 }
+# Words of other languages that none of those above has: texts in them are natural language, but not one of these.
+_OTHERS = {
+    "nl": "het een van voor met niet wordt worden moet zijn naar bij dat deze dit wel maar omdat wanneer zonder tussen alle geen ook nog",
+    "it": "il gli della delle dei degli nel nella che non sono viene deve quando anche questo questa dopo prima senza tra fra perche ogni",
+    "sv": "och att det inte som till av med ska maste nar innan efter utan alla detta denna ar blir",
+    "pl": "nie jest sie oraz przez dla przed jesli tylko kazdy gdy czy ktory ktora musi byc jako aby",
+    "tr": "ve bir bu icin ile degil daha sonra gibi kadar her olarak ancak veya olan",
+}
 _MARKS = {"es": "ñ¿¡", "de": "ßäöü", "fr": "çèêëîïœùûàâ", "pt": "ãõç"}
 _LISTS = {lang: frozenset(words.split()) for lang, words in _FUNCTION_WORDS.items()}
 # word: the languages that use it; the fewer they are, the more it tells.
 _USED_BY = {w: tuple(lang for lang, own in _LISTS.items() if w in own) for words in _LISTS.values() for w in words}
+_RIVALS = {lang: frozenset(words.split()) - frozenset(_USED_BY) for lang, words in _OTHERS.items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _PART = re.compile("[ '’-]")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
@@ -80,25 +89,28 @@ def _language(text: str) -> tuple[str, int] | None:
         for lang, marks in _MARKS.items():
             scores[lang] += 0.5 * min(3, sum(map(raw.count, marks)))
     lang = max(scores, key=lambda k: (scores[k], k))
+    words = _PART.split(low)
+    # Another language's own words outweigh those that are the best language's alone.
+    other = max(sum(w in own for w in words) for own in _RIVALS.values())
+    if other >= 2 and other > sum(_USED_BY.get(w) == (lang,) for w in words):
+        return None
     return (lang, len(tokens)) if scores[lang] >= 1 else None
 
 
-def classify(span: str, kind: str) -> list[str]:
-    """The languages of a comment or literal: usually none or one; a run of line comments may hold several texts."""
+def classify(span: str, kind: str) -> dict[str, float]:
+    """The languages of a comment or literal, each with its part of the text: usually none or one; a run of line comments may hold several texts."""
     if kind == "string":
         body = span.strip("\"'`")
+        if _SQL.match(body) or "\n" not in body and _DIRECTIVE.match(body):
+            return {}
         if "\n" not in body:
-            if _SQL.match(body) or _DIRECTIVE.match(body):
-                return []
             found = _language(body)
-            return [found[0]] if found else []
+            return {found[0]: 1.0} if found else {}
         lines = body.split("\n")
-        if _SQL.match(body):
-            return []
     else:
         lines = _LINE_MARK.sub("", span).split("\n")
     # Runs of lines that aren't code.
-    out: list[str] = []
+    out: dict[str, int] = {}
     run: list[str] = []
     for line in [*lines, ""]:
         bare = line.strip()
@@ -106,23 +118,26 @@ def classify(span: str, kind: str) -> list[str]:
             run.append(bare)
             continue
         if run:
-            out.extend(_run_languages(run))
+            for lang, size in _run_languages(run).items():
+                out[lang] = out.get(lang, 0) + size
             run = []
-    return list(dict.fromkeys(out))
+    return {lang: size / sum(out.values()) for lang, size in out.items()}
 
 
 _NOISE_FREE = re.compile(r"\b(?:https?|ftp)://\S+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 
 
-def _run_languages(run: list[str]) -> list[str]:
+def _run_languages(run: list[str]) -> dict[str, int]:
+    """The languages of a run of lines, with the characters of each."""
     whole = _language(" ".join(run))
     if whole is None:
-        return []
+        return {}
+    size = sum(map(len, run))
     if len(run) == 1 and not _SENTENCE.search(run[0]):
-        return [whole[0]]
+        return {whole[0]: size}
     # Texts in several languages may follow each other: sentences and lines of their own count where they are long enough.
-    langs = [whole[0]]
+    sizes = {whole[0]: size}
     pieces: list[str] = []
     for line in run:
         # A line that begins with a capital or mark begins a text, if the line before could end one.
@@ -132,9 +147,11 @@ def _run_languages(run: list[str]) -> list[str]:
             pieces.append(line)
     for piece in [s for p in pieces for s in _SENTENCE.split(p) if s]:
         found = _language(piece)
-        if found and found[0] not in langs:
-            langs.append(found[0])
-    return langs
+        if found and found[0] != whole[0]:
+            own = min(len(piece), sizes[whole[0]] - 1)
+            sizes[found[0]] = sizes.get(found[0], 0) + own
+            sizes[whole[0]] -= own
+    return sizes
 
 
 def _worth(span: str, kind: str) -> bool:
@@ -181,14 +198,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, kinds, spans = (batch.column(k).to_pylist() for k in range(3))
-        rows = [(key, lang) for key, kind, span in zip(keys, kinds, spans, strict=True) for lang in classify(span, kind)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["key", "lang"])
+        rows = [(key, lang, part) for key, kind, span in zip(keys, kinds, spans, strict=True) for lang, part in classify(span, kind).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["key", "lang", "part"])
 
 
 def code_languages(chunks: DataFrame) -> DataFrame:
     """project, path, lang, spans, bytes, share: natural language in each source file's comments and literals.
 
-    spans counts distinct texts, bytes all their occurrences, share is bytes of the file's bytes. Files of other endings, null
+    spans counts distinct texts, bytes all their occurrences, share is bytes of the file's bytes; the bytes of a text in several
+    languages are parted among them, so a file's shares are 1 together at most. Files of other endings, null
     contents and files without such text give no rows; repeated rows and overlapping windows count once; an empty table gives no
     rows. A comment or literal that crosses the end of a block of a very long file counts as two spans.
     """
@@ -203,6 +221,6 @@ def code_languages(chunks: DataFrame) -> DataFrame:
     later = held.where("block > 0").join(begun, ["project", "path", "block", "state"], "left_semi")
     uses = held.where("block = 0").unionByName(later).select("project", "path", "key", "bytes")
     texts = seen.where("span is not null").groupBy("key").agg(F.max("kind").alias("kind"), F.max("span").alias("span"))
-    labels = texts.select("key", "kind", "span").mapInArrow(_classify, "key binary, lang string")
-    found = uses.join(labels, "key").groupBy("project", "path", "lang").agg(F.count_distinct("key").alias("spans"), F.sum("bytes").alias("bytes"))
+    labels = texts.select("key", "kind", "span").mapInArrow(_classify, "key binary, lang string, part double")
+    found = uses.join(labels, "key").groupBy("project", "path", "lang").agg(F.count_distinct("key").alias("spans"), F.round(F.sum(F.col("bytes") * F.col("part"))).cast("bigint").alias("bytes"))
     return found.join(sizes, ["project", "path"]).select("project", "path", "lang", "spans", "bytes", (F.col("bytes") / F.col("size")).alias("share"))

@@ -57,7 +57,7 @@ def language_of(path: str, text: str) -> str | None:
     named = language(path)
     if named is None or _SIGNS[named].search(text):
         return named
-    found = {lang: len(sign.findall(text[:20_000])) for lang, sign in _SIGNS.items() if lang != named}
+    found = {lang: len(sign.findall(text)) for lang, sign in _SIGNS.items() if lang != named}
     best = max(found, key=lambda lang: (found[lang], lang))
     return best if found[best] else named
 
