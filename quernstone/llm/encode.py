@@ -12,6 +12,7 @@ import base64
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,9 @@ CACHE_WORDS = 200_000
 NONE = 1 << 60
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a .tiktoken file: a line holds a token in base64 and its rank."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+def read_ranks(content: bytes) -> dict[bytes, int]:
+    """Ranks out of a .tiktoken file's content: a line holds a token in base64 and its rank."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, content.split(b"\n")))}
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -82,11 +82,11 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def make_encoder(path: str, pattern: str = PATTERN, cache_words: int = CACHE_WORDS) -> Callable[[str], list[int]]:
+def make_encoder(content: bytes, pattern: str = PATTERN, cache_words: int = CACHE_WORDS) -> Callable[[str], list[int]]:
     """A function from text to ids. Text that looks like a special token is plain text."""
     import regex
 
-    ranks = read_ranks(path)
+    ranks = read_ranks(content)
     words = regex.compile(pattern).findall
     known = lru_cache(maxsize=cache_words)(lambda word: tuple(merge_word(word.encode("utf-8", "replace"), ranks)))
 
@@ -99,9 +99,16 @@ def make_encoder(path: str, pattern: str = PATTERN, cache_words: int = CACHE_WOR
     return encode
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> Callable[[str], list[int]]:
-    return make_encoder(path)
+#: The encoders that this worker made, by their vocabulary.
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+
+
+def _encoder(key: str, content: bytes) -> Callable[[str], list[int]]:
+    if key not in _ENCODERS:
+        while len(_ENCODERS) > 3:
+            del _ENCODERS[next(iter(_ENCODERS))]
+        _ENCODERS[key] = make_encoder(content)
+    return _ENCODERS[key]
 
 
 def encode_texts(df: DataFrame, key: str | Column = "doc_id", text: str | Column = "text", tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -109,12 +116,14 @@ def encode_texts(df: DataFrame, key: str | Column = "doc_id", text: str | Column
 
     The empty text gives an empty list and the null text a null; a null key and repeated rows are kept as they are; an
     empty table gives no rows; other columns, whatever their names, are ignored. A text is processed whole; its memory is
-    in proportion to its length.
+    in proportion to its length. The vocabulary is read by the driver and goes along with the job: a file of a fixed size.
     """
-    path = os.path.join(folder, f"{tokenizer}.tiktoken")
+    with open(os.path.join(folder, f"{tokenizer}.tiktoken"), "rb") as file:
+        content = file.read()
+    vocabulary, held = sha256(content).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = _encoder(vocabulary, held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
