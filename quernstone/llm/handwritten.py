@@ -40,7 +40,7 @@ _NAME = re.compile(
     re.I,
 )
 _GENERATED = re.compile(
-    r"code generated by|@generated\b|auto-?generated\b|machine made|machine[- ]generated|generated (?:by|from|with|using) \S+|this file (?:was|is) (?:auto\w* )?(?:written|generated|created|produced) by|changes to it will be lost|do not (?:edit|modify)\b|please do not modify|"
+    r"code generated by|\bmade by (?:gnu )?\w+,? (?:version )?\d+\.\d+|@generated\b|auto-?generated\b|machine made|machine[- ]generated|generated (?:by|from|with|using) \S+|this file (?:was|is) (?:auto\w* )?(?:written|generated|created|produced) by|changes to it will be lost|do not (?:edit|modify)\b|please do not modify|"
     r"maschinell\b.{0,60}\berzeugt|automatisch (?:erzeugt|generiert)|(?:creado|generado) autom[áa]ticamente|no (?:modificar|editar) a mano|g[ée]n[ée]r[ée] automatiquement|ne pas modifier|gerado automaticamente|n[ãa]o editar",
     re.I,
 )
@@ -48,7 +48,7 @@ _GENERATED = re.compile(
 _SPEAKS = re.compile(r"\b(?:is|are|was|be) generated by the (?:server|client|build|worker|tool)\b|\bmust not be edited\b", re.I)
 _COPIED = re.compile(
     r"\| ?\(c\) (?:the )?[\w-]+ (?:authors|contributors)|imported from the [\w-]+ distribution|bundled copy of|taken unchanged from|send fixes to\s+upstream|toolkit for browsers|see\s+upstream for licen[cs]e|released under a permissive\s+licen[cs]e|"
-    r"copyright (?:\(c\)|©)? ?\d{4}.{0,80}\b(?:authors|contributors|inc|ltd|gmbh|foundation)\b|/\*! ?[\w.@/-]+ v?\d+\.\d+|@preserve|@license\b",
+    r"copyright (?:\(c\)|©)? ?\d{4}.{0,80}\b(?:authors|contributors|inc|ltd|gmbh|foundation)\b|/\*!\s*(?:\*\s*)?(?:[\w.@/-]+ ){1,5}v?\d+\.\d+|@preserve|@license\b",
     re.I,
 )
 _TRANSPILED = re.compile(r'Object\.defineProperty\(exports, ?"__esModule"|\b__(?:awaiter|generator|extends|importDefault|importStar|rest|assign) ?= ?\(this && this\.__|_interopRequireDefault\(|_classCallCheck\(|//# sourceMappingURL=')
