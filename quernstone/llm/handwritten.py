@@ -27,8 +27,10 @@ PROJECTS, SHARE = 2, 0.7
 # Folders that hold output or packages, whatever lies in them.
 _FOLDERS = (
     "node_modules|bower|bower_components|jspm_packages|site-packages|vendor|vendored|third[_-]?party|extern|externals?|deps|"
-    "dist|build|out|output|outputs|target|coverage|bundles|_?_?generated_?_?|autogen|__generated__|\\.next|\\.nuxt|obj"
+    "dist|build|out|coverage|_?_?generated_?_?|autogen|__generated__|\\.next|\\.nuxt"
 )
+# Folders whose names also are words of a project's own domain: where there is text, it decides.
+_MAYBE = re.compile(r"(?:^|/)(?:bundles?|outputs?|targets?|obj)/", re.I)
 _PATH = re.compile(rf"(?:^|/)(?:{_FOLDERS})/", re.I)
 _LOCK = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?|deno\.lock|poetry\.lock|pipfile\.lock|cargo\.lock|composer\.lock|gemfile\.lock|go\.sum|uv\.lock|mix\.lock)$", re.I)
 # Names that only a tool gives.
@@ -66,11 +68,13 @@ _REASON = (
 
 
 def path_evidence(path: str) -> str | None:
-    """'folder', 'lock' or 'name', or None."""
+    """'folder', 'lock', 'maybe' or 'name', or None."""
     if _LOCK.search(path):
         return "lock"
     if _PATH.search(path):
         return "folder"
+    if _MAYBE.search(path):
+        return "maybe"
     return "name" if _NAME.search(path) else None
 
 
@@ -202,6 +206,7 @@ def judge_files(listed: DataFrame, chunks: DataFrame) -> DataFrame:
         .when(F.col("seen").isNotNull(), F.col("seen"))
         .when(F.col("share") >= SHARE, "recurring")
         .when(F.col("has_text").isNull() & native.isNotNull(), native)
+        .when(F.col("has_text").isNull() & lower.rlike(_MAYBE.pattern), "folder")
         .when(F.col("has_text").isNull() & F.col("told"), "reason")
         .when(F.col("has_text") & (F.lower("path").rlike(_TOOL_NAME.pattern) | (native.isNotNull() & F.col("told"))), native)
     )
