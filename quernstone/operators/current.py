@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns that tell rows of one id apart; those of them that a table has make a row's key.
+PLACE = ("project", "generation_id", "path", "source_path", "start_line", "line")
+
+
 def current_rows(df: DataFrame, repos: DataFrame) -> DataFrame:
-    """Distinct rows of df that belong to their project's published generation; other rows and repeated rows are left out.
+    """Rows of df that belong to their project's published generation, once each; other rows and repeated rows are left out.
 
-    A project that ``repos`` doesn't list, or a null generation, has no current rows.
+    Of a table with ids, rows of one id and place are one row; of other tables, equal rows are. The key alone is grouped, so
+    columns that a query doesn't go on to use are neither shuffled nor read. A project that ``repos`` doesn't list, or a null
+    generation, has no current rows.
     """
     pointers = repos.select("project", "generation_id").distinct()
-    return df.join(pointers, ["project", "generation_id"], "left_semi").distinct()
+    own = df.join(pointers, ["project", "generation_id"], "left_semi")
+    return own.dropDuplicates(["id", *[c for c in PLACE if c in df.columns]]) if "id" in df.columns else own.distinct()
 
 
 def stale_counts(df: DataFrame, repos: DataFrame, name: str) -> DataFrame:

@@ -12,11 +12,24 @@ K1, B, PATH_WEIGHT, CONTENT_WEIGHT = 1.2, 0.75, 2.5, 1.0
 
 
 def token_frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
-    """term, documents, occurrences: of each token of the texts; a null text has none."""
-    own = docs.select(tokens(text).alias("t"))
-    every = own.select(F.explode("t").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("n"))
-    once = own.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("n"))
-    return every.unionByName(once).groupBy("term").agg(F.sum("d").alias("documents"), F.sum("n").alias("occurrences"))
+    """term, documents, occurrences: of each token of the texts; a null text has none.
+
+    A text's tokens are sorted in place, so that the first of equal ones marks the document: one pass, one shuffle that combines
+    on the map side.
+    """
+    # The sorted tokens come along in an array of one, so that the lambda doesn't sort anew for each token.
+    marked = F.flatten(F.transform(F.array(F.array_sort(tokens(text))), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get(t, i - 1) != x), 1).otherwise(0).alias("d")))))
+    return docs.select(F.explode(marked).alias("x")).groupBy("x.term").agg(F.sum("x.d").alias("documents"), F.count(F.lit(1)).alias("occurrences"))
+
+
+def weigh(tf: DataFrame, statistics: DataFrame) -> DataFrame:
+    """id, score: BM25 of term frequencies (id, term, len, f) by the corpus' one row of statistics (n_docs, avg_len)."""
+    # As many rows as there are terms, and one row: both bounded by the query.
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    raw = F.log((F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
+    idf = F.when(raw <= 0, 1e-6).otherwise(raw)
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(statistics)).groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -40,12 +53,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
         ).alias("h"),
     )
     tf = hits.groupBy("id", "len", F.col("h.term").alias("term")).agg(F.sum("h.w").alias("f"))
-    # As many rows as there are terms, and one row: both bounded by the query.
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    raw = F.log((F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"))
+    return weigh(tf, stats)
 
 
 def top_hits(scored: DataFrame, limit: int, *ties: str, score: str = "score") -> DataFrame:

@@ -9,7 +9,7 @@ CHUNK_KEY = ("project", "path", "start_line", "end_line", "content")
 
 
 def publish_diff(published: DataFrame, desired: DataFrame, key: tuple[str, ...] = CHUNK_KEY) -> DataFrame:
-    """key columns, old_id, change ('kept', 'inserted', 'deleted'): the multiset difference of two generations.
+    """key columns, old_id, new_id, change ('kept', 'inserted', 'deleted'): the multiset difference of two generations.
 
     Equal rows are numbered on both sides, so a row that is there three times and wanted twice is kept twice and deleted once.
     The content takes part as a hash, so that the shuffle doesn't carry the texts; nulls in the key are equal to each other.
@@ -17,17 +17,17 @@ def publish_diff(published: DataFrame, desired: DataFrame, key: tuple[str, ...]
     hashed = [c for c in key if c == "content"]
     plain = [c for c in key if c != "content"]
 
-    def numbered(df: DataFrame, extra: list) -> DataFrame:
-        own = df.select(*plain, *[F.sha2(c, 256).alias(c) for c in hashed], *extra)
-        return own.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(*(["old_id"] if extra else [F.lit(1)]))))
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        own = df.select(*plain, *[F.sha2(c, 256).alias(c) for c in hashed], (F.col("id") if "id" in df.columns else F.lit(None).cast("bigint")).alias(name))
+        return own.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(name)))
 
-    old, new = numbered(published, [F.col("id").alias("old_id")]).alias("o"), numbered(desired, []).alias("n")
+    old, new = numbered(published, "old_id").alias("o"), numbered(desired, "new_id").alias("n")
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*key, "copy")]
     on = same[0]
     for s in same[1:]:
         on = on & s
     change = F.when(F.col("n.copy").isNull(), "deleted").when(F.col("o.copy").isNull(), "inserted").otherwise("kept")
-    return old.join(new, on, "full_outer").select(*[F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in plain], *[F.coalesce(f"o.{c}", f"n.{c}").alias(f"{c}_hash") for c in hashed], F.col("old_id"), change.alias("change"))
+    return old.join(new, on, "full_outer").select(*[F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in plain], *[F.coalesce(f"o.{c}", f"n.{c}").alias(f"{c}_hash") for c in hashed], F.col("old_id"), F.col("new_id"), change.alias("change"))
 
 
 def generation_uniformity(tables: dict[str, DataFrame]) -> DataFrame:

@@ -147,12 +147,12 @@ def multipliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_line(spark: SparkSession, folder: str) -> DataFrame:
-    return best_lines(_current(spark, folder).select("id", "start_line", "content"), TERMS[:8])
+    return best_lines(_current(spark, folder).select("id", "start_line", "content"), TERMS)
 
 
 def line_snippets(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _current(spark, folder).select("id", "start_line", "content")
-    return snippets(chunks, best_lines(chunks, TERMS[:8])).select("id", "first_line", F.length("snippet").cast("bigint").alias("characters"), F.sha2("snippet", 256).alias("digest"))
+    return snippets(chunks, best_lines(chunks, TERMS)).select("id", "first_line", F.length("snippet").cast("bigint").alias("characters"), F.sha2("snippet", 256).alias("digest"))
 
 
 def best_chunk_range(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,7 +268,7 @@ def _frequency_sql(text: str, terms: list[str]) -> str:
 _HYBRID = f"{_RRF}, hy as (select c.*, {_AUTHORITY.format(p='c.path')} authority, round(fused * {_multiplier_sql()}, 6) score from cur c join fused using (id) where {_AUTHORITY.format(p='c.path')} in {_SEARCHABLE})"
 _LINES = r"""d as (select doc_id, str_split(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''), chr(10)) ls from documents where length(text) > 0),
  w as (select doc_id, ls, len(ls) n, unnest(range(0, (greatest(0, ceil((len(ls) - {s}) / {t}::double)) * {t})::bigint + 1, {t})) k from d)""".format(s=SIZE, t=SIZE - OVERLAP)
-_BEST = f"bl as (select id, start_line + k line, {_frequency_sql('x', TERMS[:8])} matches from (select id, start_line, unnest(str_split(content, chr(10))) x, generate_subscripts(str_split(content, chr(10)), 1) - 1 k from cur where content is not null)), best as (select id, arg_max(line, (matches, -line)) line, max(matches) matches from bl group by id)"
+_BEST = f"bl as (select id, start_line + k line, {_frequency_sql('x', TERMS)} matches from (select id, start_line, unnest(str_split(content, chr(10))) x, generate_subscripts(str_split(content, chr(10)), 1) - 1 k from cur where content is not null)), best as (select id, arg_max(line, (matches, -line)) line, max(matches) matches from bl group by id)"
 _LANE = """case when {a} = 'test' or regexp_matches(lower(path), '(^|/)(tests?|specs?|__tests__)/|\\.test\\.|_test\\.') then 'tests' when regexp_matches(lower(path), 'schedul|cron') then 'scheduling'
  when {a} = 'schema_history' and regexp_matches(lower(path), 'constraint|unique|index') then 'constraints' when regexp_matches(lower(path), 'retry|retries|outbox|queue') then 'retries'
  when {a} = 'schema_history' or ends_with(lower(path), '.sql') then 'persistence' else 'implementation' end""".replace("{a}", "(" + _AUTHORITY.format(p="path") + ")")
@@ -296,7 +296,7 @@ ORACLE_SQL = {
     "rerank_fusion": f"with {_HYBRID}, z as (select id, score, {_frequency_sql("coalesce(content, '')", TERMS)} freq from hy), a as (select id, row_number() over (order by score desc, id) b, row_number() over (order by freq desc, id) r from z) select id, round(0.25::double / (60 + b) + 0.75::double / (60 + r), 8) score from a",
     "multipliers": f"with {_CHUNKS} select id, round({_multiplier_sql()}, 4) multiplier from cur c",
     "best_line": f"with {_CHUNKS}, {_BEST} select id, line::bigint line, matches::bigint matches from best",
-    "line_snippets": f"with {_CHUNKS}, {_BEST}, o as (select c.id, start_line, str_split(content, chr(10)) ls, greatest(0, least(best.line - start_line - 7, len(str_split(content, chr(10))) - 14)) k from cur c join best using (id) where content is not null), t as (select id, (start_line + k)::bigint first_line, left(array_to_string(ls[k + 1 : k + 14], chr(10)), 1800) s from o) select id, first_line, length(s) characters, sha256(s) digest from t",
+    "line_snippets": f"with {_CHUNKS}, {_BEST}, o as (select c.id, start_line, str_split(content, chr(10)) ls, greatest(0, least(best.line - start_line - 7, len(str_split(content, chr(10))) - 14)) k from cur c join best using (id) where content is not null), t as (select id, (start_line + k)::bigint first_line, array_to_string(ls[k + 1 : k + 14], chr(10)) x from o), u as (select id, first_line, case when length(x) > 1800 then regexp_replace(left(x, 1800), '\n[^\n]*$', '') else x end s from t) select id, first_line, length(s) characters, sha256(s) digest from u",
     "best_chunk_range": f"with {_CHUNKS}, s as (select project, path, start_line, end_line, {_frequency_sql('content', TERMS)} m from cur where content is not null), b as (select project, path, max((m, -start_line, -end_line)) x from s group by all) select project, path, -x[2] start_line, -x[3] end_line, x[1]::bigint matches from b",
     "diverse_first_pass": f"with {_BM25}, x as (select id, c.project, c.path, round(score, 5) score from scored join cur c using (id)), y as (select *, row_number() over (partition by project, path order by score desc, id) n from x) select id, project, path, score from y where n = 1 order by score desc, project, path limit {TOP}",
     "lane_representatives": f"with {_BM25}, x as (select id, round(score, 5) score, {_LANE} lane from scored join cur c using (id)), y as (select *, row_number() over (partition by lane order by score desc, id) place from x) select lane, id, score, place from y where place <= 4",

@@ -40,7 +40,7 @@ def context_candidates(spark: SparkSession, folder: str) -> DataFrame:
     symbols = table(spark, folder, "symbols").select(F.col("id").alias("symbol_id"), "project", "path", "start_line", "end_line").distinct()
     anchors = covered.select("symbol_id").distinct().join(symbols, "symbol_id").select("project", "path", "start_line", "end_line", F.lit(0).alias("rank"))
     lines = lineage(table(spark, folder, "symbols"), _chunks(spark, folder), "invoice").select("project", "path", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), F.lit(0).alias("rank"))
-    return fuse_candidates({"hit": ranked.drop("id"), "anchor": anchors, "lineage": lines}, query_terms(QUESTION)[:8])
+    return fuse_candidates({"hit": ranked.drop("id"), "anchor": anchors, "lineage": lines}, query_terms(QUESTION))
 
 
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
