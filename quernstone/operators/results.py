@@ -41,21 +41,35 @@ def per_group(hits: DataFrame, group: str, cap: int, *ties: str) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
 
 
-def diverse_hits(hits: DataFrame, limit: int = MOST_HITS, per_path: int = MOST_PER_PATH) -> DataFrame:
+def diverse_hits(hits: DataFrame, limit: int = MOST_HITS, per_path: int = MOST_PER_PATH, mixed: bool = False) -> DataFrame:
     """question, id, place: for each question up to ``limit`` hits, first one per path, then up to ``per_path``, none overlapping another.
 
-    hits: question, id, project, path, start_line, end_line, score, a bounded top list per question. Choosing depends on what was
-    chosen before, so each question's list is walked by itself.
+    hits: question, id, project, path, start_line, end_line, score and, for ``mixed``, authority; a bounded top list per question.
+    mixed: half of the places are first filled with implementation and one with a test. Choosing depends on what was chosen
+    before, so each question's list is walked by itself; places are in order of rank.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
         taken: list[dict] = []
+
+        def take(row: dict, cap: int) -> bool:
+            same = [t for t in taken if (t["project"], t["path"]) == (row["project"], row["path"])]
+            if row in taken or len(same) >= cap or any(t["start_line"] <= row["end_line"] and row["start_line"] <= t["end_line"] for t in same):
+                return False
+            taken.append(row)
+            return True
+
+        if mixed and limit >= 2:
+            quotas = [(("code", "schema_history"), min(max(1, limit // 2), limit - 1)), (("test",), 1)]
+            for kinds, quota in quotas:
+                for row in rows:
+                    if quota and row["authority"] in kinds:
+                        quota -= take(row, 1)
         for cap in range(1, per_path + 1):
             for row in rows:
-                same = [t for t in taken if (t["project"], t["path"]) == (row["project"], row["path"])]
-                if len(taken) < limit and row not in taken and len(same) < cap and not any(t["start_line"] <= row["end_line"] and row["start_line"] <= t["end_line"] for t in same):
-                    taken.append(row)
+                if len(taken) < limit:
+                    take(row, cap)
         taken.sort(key=lambda r: (-r["score"], r["id"]))
         return pd.DataFrame({"question": [pdf["question"].iloc[0]] * len(taken), "id": [r["id"] for r in taken], "place": range(1, len(taken) + 1)})
 
@@ -95,16 +109,17 @@ def pack(candidates: DataFrame, budget: int, reserve: int = 2000, most: int = 48
 
 
 def similar_names(symbols: DataFrame, name: str, limit: int = 5, least: float = 0.48) -> DataFrame:
-    """id, name, ratio: the symbols whose names are most like a name that nothing bears, by matching blocks (Ratcliff and Obershelp)."""
+    """id, name, ratio: the symbols whose short or qualified names are most like a name that nothing bears, by matching blocks (Ratcliff and Obershelp)."""
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import difflib
 
-        known: dict[str, float] = {}
         wanted = name.lower()
         for names in batches:
-            yield names.map(lambda n: None if n is None else known.setdefault(n, difflib.SequenceMatcher(None, wanted, n.lower()).ratio()))
+            yield names.map(lambda n: None if n is None else difflib.SequenceMatcher(None, wanted, n.lower()).ratio())
 
-    names = symbols.groupBy("name").agg(F.min("id").alias("id"))
-    return names.withColumn("ratio", F.round(ratio("name"), 4)).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "name").limit(limit).select("id", "name", "ratio")
+    qualified = F.col("qualified_name") if "qualified_name" in symbols.columns else F.lit(None).cast("string")
+    names = symbols.select("id", "name", qualified.alias("qualified")).groupBy("name", "qualified").agg(F.min("id").alias("id"))
+    rated = names.withColumn("ratio", F.round(F.greatest(ratio("name"), ratio("qualified")), 4)).where(F.col("ratio") >= least)
+    return rated.groupBy("name").agg(F.max("ratio").alias("ratio"), F.min_by("id", -F.col("ratio")).alias("id")).orderBy(F.desc("ratio"), "name").limit(limit).select("id", "name", "ratio")

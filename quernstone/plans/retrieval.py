@@ -247,9 +247,9 @@ def _hits_sql(hay: str) -> str:
     return " + ".join(f"contains({hay}, '{t}')::int" for t in terms) or "0"
 
 
-def _multiplier_sql(c: str = "c") -> str:
+def _multiplier_sql(c: str = "c", authority: str = "") -> str:
     intents = set(active_intents(QUESTION))
-    low, a = f"lower({c}.path)", _AUTHORITY.format(p=f"{c}.path")
+    low, a = f"lower({c}.path)", authority or _AUTHORITY.format(p=f"{c}.path")
     hay = f"lower(concat_ws(chr(10), {c}.path, coalesce({c}.content, '')))"
     out = f"(case {a} when 'test' then 1.60 when 'code' then 1.50 when 'schema_history' then 1.35 when 'canonical' then 1.10 when 'config' then 0.80 when 'generated' then 0.70 when 'active' then 0.55 when 'historical' then 0.30 else 1.0 end)::double * (1 + 0.08::double * least({_hits_sql(hay)}, 8))"
     if {"reliability", "external_write", "duplicate"} & intents:
