@@ -18,7 +18,7 @@ from quernstone.session import cut
 
 # How many files a lane may fill, and the kinds whose best files have slots of their own.
 LANE_CAPS = {"implementation": 4, "persistence": 4, "retries": 3, "scheduling": 2, "constraints": 2, "tests": 3}
-KIND_SLOTS = {"sql_override_chain": 4, "query_related_ui": 5, "rpc_consumer": 5, "generated_contract_consumer": 2}
+KIND_SLOTS = {"sql_override_chain": 4, "dispatch_override_chain": 4, "inheritance_chain": 4, "query_related_ui": 5, "rpc_consumer": 5, "generated_contract_consumer": 2}
 
 
 def _reason(df: DataFrame, score, kind: str) -> DataFrame:

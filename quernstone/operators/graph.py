@@ -135,12 +135,25 @@ def contract_differences(edges: DataFrame, source: str = "source_qualified_name"
     return pairs.select("project", "source_path", "left_source", "right_source", text(F.array_intersect("l", "r")).alias("shared"), text(F.array_except("l", "r")).alias("only_left"), text(F.array_except("r", "l")).alias("only_right"))
 
 
+def lineage_of(symbols: DataFrame, chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """project, name, path, kind, first_line, last_line: where each name (project, name) is defined or, outside its definitions, mentioned in scripts.
+
+    Names are carried to the scripts as one array per project; they are a question's, so a bounded list.
+    """
+    wanted = names.select("project", F.lower("name").alias("name")).where("name <> ''").distinct()
+    own = symbols.withColumn("lower_name", F.lower("name")).join(wanted.withColumnRenamed("name", "lower_name"), ["project", "lower_name"], "left_semi")
+    defined = own.groupBy("project", F.col("lower_name").alias("name"), "path").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+    listed = wanted.groupBy("project").agg(F.collect_set("name").alias("names"))
+    low = F.lower("content")
+    held = chunks.where(F.col("path").endswith(".sql") & F.col("content").isNotNull()).join(listed, "project").select("project", "path", "start_line", "end_line", F.explode(F.filter("names", lambda n: low.contains(n))).alias("name"))
+    patched = held.groupBy("project", "name", "path").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line")).join(defined.select("project", "name", "path"), ["project", "name", "path"], "left_anti")
+    return defined.withColumn("kind", F.lit("definition")).unionByName(patched.withColumn("kind", F.lit("dynamic_patch"))).select("project", "name", "path", "kind", "first_line", "last_line")
+
+
 def lineage(symbols: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
-    """project, path, kind, first_line, last_line: where a name is defined or, outside its definitions, mentioned in scripts, in path order."""
-    defined = symbols.where(F.lower("name") == name.lower()).groupBy("project", "path").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line")).withColumn("kind", F.lit("definition"))
-    scripts = chunks.where(F.col("path").endswith(".sql") & F.lower("content").contains(name.lower()))
-    patched = scripts.groupBy("project", "path").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line")).join(defined.select("project", "path"), ["project", "path"], "left_anti").withColumn("kind", F.lit("dynamic_patch"))
-    return defined.unionByName(patched).select("project", "path", "kind", "first_line", "last_line")
+    """project, path, kind, first_line, last_line: the lineage of one name in every project."""
+    names = chunks.select("project").union(symbols.select("project")).distinct().withColumn("name", F.lit(name))
+    return lineage_of(symbols, chunks, names).drop("name")
 
 
 def dependency_levels(edges: DataFrame, roots: DataFrame, levels: int = 2) -> DataFrame:
@@ -155,14 +168,20 @@ def dependency_levels(edges: DataFrame, roots: DataFrame, levels: int = 2) -> Da
     return seen
 
 
-def reverse_dependencies(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """project, source_path, source_name, calls, source_active: who refers to a name, and whether a symbol of the source's name is active there."""
-    wanted = name.lower()
-    uses = edges.where(bare_name(F.col("target_name")) == wanted).groupBy("project", "source_path", "source_name").agg(F.count(F.lit(1)).alias("calls"))
+def reverse_dependencies_of(edges: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """project, name, source_path, source_name, calls, source_active: who refers to each name (project, name), and whether a symbol of the source's name is active there."""
+    wanted = names.select("project", bare_name(F.col("name")).alias("name")).distinct()
+    uses = edges.withColumn("name", bare_name(F.col("target_name"))).join(wanted, ["project", "name"], "left_semi").groupBy("project", "name", "source_path", "source_name").agg(F.count(F.lit(1)).alias("calls"))
     active = symbols.where("active = 1").select("project", F.col("path").alias("source_path"), F.col("name").alias("source_name")).distinct().withColumn("source_active", F.lit(1))
     return uses.join(active, ["project", "source_path", "source_name"], "left").withColumn("source_active", F.coalesce("source_active", F.lit(0)))
 
 
+def reverse_dependencies(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    """project, source_path, source_name, calls, source_active: as for many names, of one name in every project."""
+    names = edges.select("project").distinct().withColumn("name", F.lit(name))
+    return reverse_dependencies_of(edges, symbols, names).drop("name").select("project", "source_path", "source_name", "calls", "source_active")
+
+
 def operation_edges(edges: DataFrame, operations: tuple[str, ...]) -> DataFrame:
     """The edges whose JSON metadata name one of the operations; metadata that are no JSON name none."""
     return edges.where(F.get_json_object("metadata", "$.operation").isin(*operations))
