@@ -173,14 +173,18 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["project", "path", "block", "seen", "prints"])
 
 
-def recurring_share(files: DataFrame, projects: int = PROJECTS) -> DataFrame:
-    """project, path, prints, share: the file's distinct fingerprints and the share of them that ``projects`` projects hold.
+def recurring_share(texts: DataFrame, projects: int = PROJECTS) -> DataFrame:
+    """project, path, prints, share: how many distinct fingerprints a file has, and the share of them that ``projects`` projects hold.
 
-    files: project, path, print, distinct. A fingerprint is counted per project first, so one that nearly every file holds
-    costs a project one row; it then joins back by its value, and AQE splits the partition of a hot one.
+    texts: project, path, prints (an array, distinct), a row per file. A fingerprint is counted per project first, so one that
+    nearly every file holds costs a project one row; it then joins back by its value, and AQE splits the partition of a hot one.
+    Files and projects go along as hashes of 96 and 64 bits, names stay behind.
     """
-    held = files.groupBy("print", "project").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count(F.lit(1)).alias("projects")).where(F.col("projects") >= projects)
-    return files.join(held.select("print", F.lit(1).alias("hit")), "print", "left").groupBy("project", "path").agg(F.count(F.lit(1)).alias("prints"), (F.count("hit") / F.count(F.lit(1))).alias("share"))
+    file = [F.xxhash64("project", "path").alias("f"), F.hash("project", "path").alias("g")]
+    prints = texts.where("size(prints) > 0").select(*file, F.xxhash64("project").alias("p"), F.explode("prints").alias("print"))
+    held = prints.groupBy("print", "p").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count(F.lit(1)).alias("projects")).where(F.col("projects") >= projects)
+    shares = prints.select("f", "g", "print").join(held.select("print", F.lit(1).alias("hit")), "print", "left").groupBy("f", "g").agg(F.count(F.lit(1)).alias("prints"), (F.count("hit") / F.count(F.lit(1))).alias("share"))
+    return texts.select("project", "path", *file).join(shares, ["f", "g"]).select("project", "path", "prints", "share")
 
 
 def judge_files(listed: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -195,7 +199,7 @@ def judge_files(listed: DataFrame, chunks: DataFrame) -> DataFrame:
     texts = seen.groupBy("project", "path").agg(F.min_by("seen", F.when(F.col("seen").isNotNull(), F.col("block"))).alias("seen"), F.flatten(F.collect_list("prints")).alias("prints"))
     # Both the fingerprints and the evidence are read below: looked at once.
     texts = cut(texts.select("project", "path", "seen", F.array_distinct("prints").alias("prints")))
-    shares = recurring_share(texts.where("size(prints) > 0").select("project", "path", F.explode("prints").alias("print")))
+    shares = recurring_share(texts)
     lower = F.lower("path")
     native = (
         F.when(lower.rlike(_LOCK.pattern.replace("(?i)", "")), "lock").when(lower.rlike(_PATH.pattern), "folder").when(lower.rlike(_NAME.pattern), "name")
