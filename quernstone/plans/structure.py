@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import query_terms
 from quernstone.operators.context import fuse_candidates
 from quernstone.operators.current import current_rows
-from quernstone.operators.extract import extract_edges, extract_symbols, resolve_imports
+from quernstone.operators.extract import build_graph, extract_edges, extract_symbols, graph_statistics, resolve_imports
 from quernstone.operators.graph import covering_symbols, lineage
 from quernstone.plans.retrieval import QUESTION, _scored
 from quernstone.streaming.refresh import activity
@@ -32,6 +32,12 @@ def extracted_imports(spark: SparkSession, folder: str) -> DataFrame:
     return resolve_imports(extract_edges(chunks), chunks.select("project", "path"))
 
 
+def built_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """How large the graphs are that all chunks give, per project."""
+    graph = build_graph(_chunks(spark, folder))
+    return graph_statistics(graph["symbols"], graph["edges"])
+
+
 def context_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of several kinds for one question, fused by range."""
     hits = _scored(spark, folder).orderBy(F.desc("score"), "id").limit(60)
@@ -47,7 +53,7 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return activity(table(spark, folder, "events")).select("event_type", F.unix_timestamp("begin").alias("begin"), "n", F.round("value", 4).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_edges, extracted_imports, context_candidates, event_windows)}
+QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_edges, extracted_imports, built_graph, context_candidates, event_windows)}
 ORACLE_SQL = {
     "event_windows": "select event_type, epoch(time_bucket(interval '5 minutes', ts))::bigint as begin, count(*) n, round(sum(value), 4) as value from events group by 1, 2",
 }

@@ -246,21 +246,73 @@ def test_claims(spark):
 
 # -- extraction
 def test_sql_extraction():
-    text = "CREATE OR REPLACE FUNCTION public.f(a int) RETURNS int LANGUAGE plpgsql AS $$\nBEGIN\n  UPDATE t SET x = 1;\n  PERFORM g(a);\nEND;\n$$;\nCREATE TABLE u (\n id int\n);\n"
+    text = "CREATE OR REPLACE FUNCTION public.f(a int) RETURNS int LANGUAGE plpgsql AS $$\nBEGIN\n  UPDATE t SET x = 1;\n  PERFORM public.g(a);\nEND;\n$$;\nCREATE TABLE u (\n id int\n);\ncreate policy \"own rows\" on u using (h(id));\n"
     symbols, edges = extract.extract_sql(text)
-    assert ("function", "f", "public.f", 1, 6) in [s[:5] for s in symbols] and ("table", "u", "u", 7, 9) in [s[:5] for s in symbols]
-    assert ("public.f", "accesses_table", "t", 3, "update", "lexical") in edges and ("public.f", "calls_sql", "g", 4, None, "lexical") in edges
+    assert ("function", "public.f", "public.f", 1, 6) in [s[:5] for s in symbols] and ("table", "u", "u", 7, 9) in [s[:5] for s in symbols]
+    assert next(s for s in symbols if s[0] == "policy")[1::5] == ("own rows", '{"table":"u"}')
+    assert ("public.f", "public.f", "accesses_table", "t", "t", "", 3, '{"operation":"update"}', "lexical") in edges and ("public.f", "public.f", "calls_sql", "public.g", "public.g", "", 4, "{}", "lexical") in edges
+    assert any(e[0] == "own rows" and e[3] == "h" for e in edges)
+
+
+SCRIPT = '''import Shared, { a, b as c } from "./lib";
+import * as ns from "@/x/y";
+import { gone } from "pkg";
+class Base {
+  get(x) { return this.load(x); }
+  load(x) { return a(x, [1, 2]); }
+}
+export class A extends Base {
+  constructor() { super(); }
+  get(x) {
+    return c(x) + ns.go(1, 2) + gone();
+  }
+}
+class B extends Shared {
+  set value(v) { this.lost(v); }
+}
+export const useThing = (p) => {
+  // dead(1)
+  const s = "dead(2)";
+  register(function inner(q) { return helper(q); });
+  return db.from("rows").insert({ x: 1 });
+};
+const Card = ({ row }) => { return draw(row); };
+export async function load() {
+  await client.functions.invoke("send-mail", {});
+  return db.rpc("hours", {});
+}
+function helper(z) { return new Foo(z); }
+'''
 
 
 def test_script_extraction(spark):
-    text = 'import { a, b } from "./lib";\nexport class A extends B {\n  get(x) {\n    return a(x);\n  }\n}\nexport async function load() {\n  // gone(1)\n  await db.from("rows").insert({ x: 1 });\n  return db.rpc("hours", {});\n}\n'
-    symbols, edges = extract.extract_script(text)
-    assert {("class", "A", 2, 6), ("method", "get", 3, 5), ("function", "load", 7, 11)} <= {(s[0], s[1], s[3], s[4]) for s in symbols}
-    kinds = {(e[0], e[1], e[2]) for e in edges}
-    assert {("A.get", "calls", "a"), ("A", "extends", "B"), ("load", "writes_table", "rows"), ("load", "calls_rpc", "public.hours"), ("<module>", "imports", "./lib")} <= kinds
-    assert not any(e[2] == "gone" for e in edges)
-    df = spark.createDataFrame([chunk(1, "p", "src/x.ts", 1, text), chunk(2, "p", "src/lib/index.ts", 1, "export const a = 1;"), chunk(3, "p", "n.ts", 1, None)], CHUNKS)
-    assert [r.target_path for r in extract.resolve_imports(extract.extract_edges(df), df).collect()] == ["src/lib/index.ts"]
+    symbols, edges = extract.extract_script(SCRIPT, "src/app/m.ts")
+    names = {(s[0], s[2], s[3], s[4]) for s in symbols}
+    assert names >= {("module", "src/app/m.ts", 1, 29), ("class", "A", 8, 13), ("method", "A.get", 10, 12), ("method", "Base.get", 5, 5), ("method", "A.constructor", 9, 9), ("hook", "useThing", 17, 22), ("function", "useThing.inner", 20, 20), ("component", "Card", 23, 23), ("function", "load", 24, 27), ("method", "B.value", 15, 15)}
+    calls = {(e[1], e[2], e[4], e[8]) for e in edges}
+    assert calls >= {
+        ("A", "extends", "Base", "same_file_inheritance"), ("A.get", "overrides", "Base.get", "same_file_inheritance"), ("B.value", "overrides", "Shared.value", "import_resolved_inheritance"),
+        ("Base.get", "calls", "Base.load", "same_file"), ("A.get", "calls", "b", "import_resolved"), ("A.get", "calls", "go", "import_resolved"), ("B.value", "calls", "lost", "same_class_unresolved"), ("useThing.inner", "calls", "helper", "same_file"),
+        ("useThing", "writes_table", "public.rows", "literal"), ("load", "calls_rpc", "public.hours", "literal"), ("load", "invokes_edge_function", "send-mail", "literal"),
+    }
+    assert not any(e[3] in ("dead", "Foo", "rpc", "insert") for e in edges)
+    one = next(e for e in edges if e[3] == "a")
+    assert one[7] == '{"argument_count":2,"call_kind":"identifier","expression":"a","optional_chain":false,"receiver":"a"}'
+    df = spark.createDataFrame([chunk(1, "p", "src/app/m.ts", 1, SCRIPT), chunk(2, "p", "src/app/lib/index.ts", 1, "export const a = 1;"), chunk(3, "p", "n.ts", 1, None), chunk(4, "p", "src/x/y.js", 1, "export const go = () => { return 1 };"), chunk(5, "p", "db/migrations/1.sql", 1, "create function public.hours() returns int as $$ select 1 $$ language sql;")], CHUNKS)
+    assert {(r.via, r.target_path) for r in extract.resolve_imports(extract.extract_edges(df), df).collect()} == {("./lib", "src/app/lib/index.ts"), ("@/x/y", "src/x/y.js")}
+    graph_ = extract.build_graph(df)
+    got = {(r.relation, r.target_name, r.target_path, r.resolution_confidence) for r in graph_["edges"].collect()}
+    assert got >= {("imports", "./lib", "src/app/lib/index.ts", "exact_path"), ("imports", "pkg", None, "external_or_unresolved"), ("calls", "gone", None, "external_import"), ("calls", "go", "src/x/y.js", "import_resolved"), ("extends", "Shared", "src/app/lib/index.ts", "import_resolved_inheritance"), ("calls_rpc", "public.hours", "db/migrations/1.sql", "active_sql")}
+    row = extract.graph_statistics(graph_["symbols"], graph_["edges"]).first()
+    assert row.symbols == graph_["symbols"].count() and row.edges == graph_["edges"].count() and row.unresolved == 2 and row.module_owned == 3
+    assert graph_["symbols"].select("id").distinct().count() == row.symbols
+    assert {c for c in graph_["edges"].columns} >= {"id", "project", "source_path", "source_name", "relation", "target_name", "target_path", "line", "metadata", "source_qualified_name", "target_qualified_name", "resolution_confidence", "commit_hash", "generation_id"}
+
+
+def test_import_paths(spark):
+    rows = [("src/a/b.ts", "../c", "src/c"), ("src/a/b.ts", "./c/../d", "src/a/d"), ("b.ts", "./c", "c"), ("b.ts", "../c", "../c"), ("src/a/b.ts", "@/x", "src/x"), ("src/a/b.ts", "react", None), ("a/b/c/d.ts", "../../x/y", "a/x/y")]
+    df = spark.createDataFrame(rows, "path string, via string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", extract.import_base(F.col("path"), F.col("via"))).collect())
 
 
 def test_extraction_of_long_files(spark):
@@ -270,13 +322,13 @@ def test_extraction_of_long_files(spark):
     lines = {"x.ts": script.split("\n"), "y.sql": sql.split("\n")}
     rows = [chunk(k * 1000 + at, "p", path, at + 1, "\n".join(own[at : at + 120])) for k, (path, own) in enumerate(lines.items()) for at in range(0, len(own), 100)]
     df = spark.createDataFrame(rows, CHUNKS)
-    want = [extract.extract_script(script), extract.extract_sql(sql)]
+    want = [extract.extract_script(script, "x.ts"), extract.extract_sql(sql)]
     symbols = sorted(tuple(r)[1:] for r in extract.extract_symbols(df).collect())
     assert symbols == sorted((path, *s) for path, (own, _) in zip(lines, want) for s in own)
-    assert {(s[2], s[4], s[5]) for s in symbols} >= {("wide", 5, 9006), ("far", 9007, 9009), ("f", 5004, 10006)} and [s[2] for s in symbols].count("<module>") == 1
+    assert {(s[2], s[4], s[5]) for s in symbols} >= {("wide", 5, 9006), ("far", 9007, 9009), ("f", 5004, 10006)} and [s[1] for s in symbols].count("module") == 1
     edges = sorted((tuple(r)[1:] for r in extract.extract_edges(df).collect()), key=str)
     assert edges == sorted(((path, *e) for path, (_, own) in zip(lines, want) for e in own), key=str)
-    assert {("wide", "a", 9005, "import_resolved"), ("far", "near", 9008, "same_file"), ("f", "g", 10005, "lexical")} <= {(e[1], e[3], e[4], e[6]) for e in edges}
+    assert {("wide", "a", 9005, "import_resolved"), ("far", "near", 9008, "same_file"), ("f", "g", 10005, "lexical")} <= {(e[1], e[4], e[7], e[9]) for e in edges}
 
 
 # -- sources and streams
