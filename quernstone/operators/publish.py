@@ -54,6 +54,59 @@ def file_digests(chunks: DataFrame) -> DataFrame:
     return own.groupBy("project", "path").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
 
 
+def project_digests(chunks: DataFrame) -> DataFrame:
+    """project, files, digest: a hash of a project's files, each framed by its path's length. Files' digests meet, a short string each."""
+    framed = F.concat(F.lpad(F.octet_length("path").cast("string"), 8, "0"), F.col("path"), F.col("digest"))
+    return file_digests(chunks).groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(framed)), ""), 256).alias("digest"))
+
+
+EDGE_FIELDS = ("source_path", "source_name", "source_qualified_name", "relation", "target_name", "target_path", "target_qualified_name", "line", "resolution_confidence", "metadata")
+SYMBOL_FIELDS = ("path", "kind", "qualified_name", "start_line", "end_line", "active", "metadata")
+
+
+def graph_digests(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """project, edges, symbols, digest: a hash of all that a project's graph says, whatever order its rows come in.
+
+    Rows are hashed with the field order fixed and nulls told from empty texts; the hashes of a file's rows meet in order, then
+    those of a project's files, so that no task sees all rows of a project.
+    """
+
+    def per_file(df: DataFrame, fields: tuple[str, ...], path: str, tag: str) -> DataFrame:
+        row = F.sha2(F.concat_ws("\x1e", *[F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("~")) for f in fields]), 256)
+        return df.select("project", F.col(path).alias("path"), row.alias("h")).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d")).withColumn("tag", F.lit(tag))
+
+    files = per_file(edges, EDGE_FIELDS, "source_path", "E").unionByName(per_file(symbols, SYMBOL_FIELDS, "path", "S"))
+    entry = F.concat_ws("\x1f", "tag", F.coalesce("path", F.lit("")), "d")
+    return files.groupBy("project").agg(F.sum(F.when(F.col("tag") == "E", F.col("n")).otherwise(0)).alias("edges"), F.sum(F.when(F.col("tag") == "S", F.col("n")).otherwise(0)).alias("symbols"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"))
+
+
+def indexed_paths(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """project, path: the files that have chunks or symbols."""
+    return chunks.select("project", "path").union(symbols.select("project", "path")).distinct()
+
+
+def freeze(project: str, tables: dict[str, DataFrame], repos: DataFrame) -> dict[str, str]:
+    """What names a project's snapshot: its generation and digests, if all of its rows belong to the published generation; else an error."""
+    pointer = repos.where(F.col("project") == project).select("commit_hash", "generation_id").distinct().limit(2).collect()
+    if len(pointer) != 1:
+        raise LookupError(f"{project} has {'no' if not pointer else 'more than one'} published generation")
+    own = {name: df.where(F.col("project") == project) for name, df in tables.items()}
+    for name, df in own.items():
+        others = df.where(~F.col("generation_id").eqNullSafe(F.lit(pointer[0]["generation_id"]))).limit(1).count()
+        if others:
+            raise ValueError(f"{name} holds rows of another generation of {project}")
+    content, graph = project_digests(own["chunks"]).first(), graph_digests(own["edges"], own["symbols"]).first()
+    return {"project": project, "commit_hash": pointer[0]["commit_hash"], "generation_id": pointer[0]["generation_id"], "content_digest": content["digest"] if content else "", "graph_digest": graph["digest"] if graph else ""}
+
+
+def still_current(snapshot: dict[str, str], tables: dict[str, DataFrame], repos: DataFrame) -> None:
+    """Raises if the project's snapshot isn't what it was."""
+    now = freeze(snapshot["project"], tables, repos)
+    if now != snapshot:
+        raise ValueError(f"the snapshot changed: {sorted(k for k in now if now[k] != snapshot[k])}")
+
+
 def deduplicated_evidence(chunks: DataFrame) -> DataFrame:
-    """evidence_id, copies, first_id: texts by content hash."""
-    return chunks.where("content is not null").groupBy(F.concat(F.lit("V"), F.substring(F.sha2("content", 256), 1, 16)).alias("evidence_id")).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+    """evidence_id, copies, first_id, bytes: texts by content hash, with the bytes of one."""
+    own = chunks.where("content is not null").select(F.concat(F.lit("V"), F.substring(F.sha2("content", 256), 1, 16)).alias("evidence_id"), "id", F.octet_length("content").cast("bigint").alias("b"))
+    return own.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"), F.max("b").alias("bytes"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.code import affinity, affinity_terms, citation, embedding_document, line_range, name_words, numbered_lines
+from quernstone.functions.code import affinity, affinity_terms, citation, embedding_document, name_words
 from quernstone.operators.classify import authority_of, is_searchable
 from quernstone.operators.flow import KIND_SLOTS, LANE_CAPS, files_of_flow, rank_flow, reasons, structural_neighbours
 from quernstone.operators.graph import lane_of
+from quernstone.operators.ledger import numbered, read_ranges
 from quernstone.operators.lexical import bm25
 from quernstone.operators.results import per_group
 from quernstone.plans.graph import _E, _LINKS, _S, NAME, RESOURCE, _current
@@ -97,14 +98,11 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbol_excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    """The source of each symbol out of the chunk that holds it whole, numbered; by hash and length."""
-    symbols = _current(spark, folder, "symbols").where("kind <> 'module'").select(F.col("id").alias("symbol_id"), "project", "path", F.col("start_line").alias("s0"), F.col("end_line").alias("s1"))
-    chunks = _current(spark, folder, "chunks").where("content is not null").select("id", "project", "path", "start_line", "end_line", "content")
-    held = symbols.join(chunks, ["project", "path"]).where((F.col("start_line") <= F.col("s0")) & (F.col("end_line") >= F.col("s1")))
-    first = Window.partitionBy("symbol_id").orderBy("start_line", "id")
-    one = held.withColumn("n", F.row_number().over(first)).where("n = 1")
-    text = numbered_lines(line_range(F.col("content"), F.col("start_line"), F.col("s0"), F.col("s1")), F.col("s0"))
-    return one.select("symbol_id", F.length(text).cast("bigint").alias("characters"), F.sha2(text, 256).alias("digest"))
+    """The source of each symbol, numbered, out of all windows that hold lines of it; by hash and length."""
+    symbols = _current(spark, folder, "symbols").where("kind <> 'module'").select(F.col("id").alias("symbol_id"), "project", "path", "start_line", "end_line")
+    read = read_ranges(symbols, _current(spark, folder, "chunks"), "symbol_id")
+    text = numbered(F.col("content"), F.col("first_line"))
+    return read.select("symbol_id", F.length(text).cast("bigint").alias("characters"), F.sha2(text, 256).alias("digest"), "missing")
 
 
 def graph_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +172,7 @@ ORACLE_SQL = {
     "embedding_upserts": "with r as (select *, row_number() over (partition by chunk_id order by embedded_at desc nulls last, model desc nulls last, dimension desc nulls last) n, count(*) over (partition by chunk_id) deliveries from chunk_embeddings where chunk_id is not null) select chunk_id, model, dimension, deliveries from r where n = 1",
     "vector_cache_misses": f"with {_CHUNKS}, c as (select id, sha256(content) h from cur where content is not null), v as (select distinct chunk_id id from chunk_embeddings where vector is not null), y as (select distinct h from c semi join v using (id)) select h content_hash, count(*) chunks from c anti join y using (h) group by h",
     "citations": f"with {_CHUNKS} select id, project || ':' || path || ':' || start_line || '-' || end_line citation from cur where {_AUTHORITY.format(p='path')} in {_SEARCHABLE}",
-    "symbol_excerpts": f"with {_CHUNKS}, {_S}, h as (select s.id symbol_id, s.start_line a, s.end_line b, c.start_line f, str_split(content, chr(10)) ls, row_number() over (partition by s.id order by c.start_line, c.id) n from s join cur c on c.project = s.project and c.path = s.path and c.start_line <= s.start_line and c.end_line >= s.end_line where kind <> 'module' and content is not null), t as (select symbol_id, array_to_string(list_transform(ls[a - f + 1 : b - f + 1], lambda l, i: (a + i - 1)::varchar || ': ' || l), chr(10)) x from h where n = 1) select symbol_id, length(x) characters, sha256(x) digest from t",
+    "symbol_excerpts": f"with {_CHUNKS}, {_S}, h as (select s.id symbol_id, s.start_line a, s.end_line b, greatest(coalesce(c.start_line, 1), 1) f, str_split(content, chr(10)) ls from s join cur c on c.project = s.project and c.path = s.path where kind <> 'module' and content is not null and c.start_line <= s.end_line), l as (select symbol_id, a, b, f, unnest(ls) x, generate_subscripts(ls, 1) + f - 1 ln from h where f + len(ls) - 1 >= a), o as (select symbol_id, a, b, ln, arg_min(x, (f, x)) x from l where ln between a and b group by all), t as (select symbol_id, any_value(b - a + 1) n, count(*) k, string_agg(ln || ': ' || x, chr(10) order by ln) x from o group by symbol_id) select symbol_id, length(x) characters, sha256(x) digest, (n - k)::bigint missing from t",
     "graph_lines": f"with {_E}, {_S}, f as (select distinct project, source_path path from e where target_name = '{RESOURCE}' and relation = 'writes_table') select id, concat_ws(' ', 'SYMBOL', kind, qualified_name, path || ':' || start_line || '-' || end_line) line from s semi join f using (project, path)",
     "graph_digest": f"with {_E}, h as (select distinct id, project, ('0x' || left(sha256(concat_ws('|', id::varchar, source_path, relation, target_name)), 12))::bigint h from e) select project, count(*) edges, sum(h)::varchar digest from h group by project",
     "anchor_authorities": f"with {_SEED}, c as (select {_AUTHORITY.format(p='path')} authority, {_LANE} lane, count(*) seeds from seeds group by 1, 2) select authority, lane, seeds, round(seeds / (select sum(seeds) from c), 4) as share from c",

@@ -259,7 +259,7 @@ ORACLE_SQL = {
     "uniformity": " union all ".join(f"select '{n}' source, project, count(distinct generation_id) generations, (count(distinct generation_id) = 1)::int uniform from {n} group by project" for n in ("chunks", "source_authority", "symbols", "edges")),
     "purge": "with p as (select project from chunks group by project order by count(*) desc, project limit 1) " + " union all ".join(f"select '{n}' source, count(*) removed from {n} where project = (select project from p)" for n in ("repos", "chunks", "source_authority", "symbols", "edges")),
     "content_digest": f"with {_CHUNKS}, h as (select distinct project, path, start_line, sha256(content) h from cur where content is not null) select project, path, sha256(string_agg(h, '' order by start_line, h)) digest from h group by all",
-    "evidence_dedupe": "select 'V' || left(sha256(content), 16) evidence_id, count(*) copies, min(id) first_id from chunks where content is not null group by 1",
+    "evidence_dedupe": "select 'V' || left(sha256(content), 16) evidence_id, count(*) copies, min(id) first_id, max(strlen(content))::bigint as bytes from chunks where content is not null group by 1",
     "atlas_skeleton": f"with {_E}, o as (select id, min(project) project, min(source_path) source_path, min(relation) relation from e group by id) select project, source_path, relation, count(*) edges from o group by 1, 2, 3",
     "atlas_dictionary": f"with {_E}, v as (select distinct source_path as value from e where source_path is not null) select value, 'P' || lower(to_base(row_number() over (order by value) - 1, 36)) code from v",
     "atlas_batches": f"with {_BATCHES} select project, batch, count(*) edges from bt group by all",
