@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +58,61 @@ def batches_by_cost(edges: DataFrame, budget: int, cost: Column) -> DataFrame:
     return placed.select("id", "project", F.floor((F.col("before") + F.col("within") - 1) / budget).cast("bigint").alias("batch"))
 
 
+def prefix_batches(edges: DataFrame, budget: int, cost: Column) -> DataFrame:
+    """id, project, batch, used: each project's edges in order of path, source and id, as many to a batch as its budget holds.
+
+    Where a batch ends depends on where the one before did, so a project's edges are read in order as a stream that holds one sum; for
+    projects that shouldn't be one task see batches_by_cost. An edge beyond the budget is an error.
+    """
+    own = edges.groupBy("id").agg(F.min("project").alias("project"), F.min("source_path").alias("source_path"), F.min(F.coalesce("source_qualified_name", F.lit(""))).alias("source"), F.min(cost.cast("bigint")).alias("cost"))
+    ordered = own.repartition("project").sortWithinPartitions("project", "source_path", "source", "id").select("id", "project", "cost")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, number, used = None, 0, 0
+        for rows in batches:
+            out = []
+            for one, own_project, n in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+                if n > budget:
+                    raise ValueError(f"edge {one} exceeds the budget")
+                if own_project != project:
+                    project, number, used = own_project, 0, 0
+                if used + n > budget:
+                    number, used = number + 1, 0
+                used += n
+                out.append((number, used))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["id", "project", "batch", "used"])
+
+    return ordered.mapInArrow(walk, "id bigint, project string, batch bigint, used bigint")
+
+
+def encoded(edges: DataFrame) -> dict[str, DataFrame]:
+    """paths, names, relations, confidences: value, code; groups: path, name and their edges as codes: a graph with every text once.
+
+    A group's edges are an array of (id, relation, target name, target path or '', line, confidence) in order of line and id.
+    """
+    paths = dictionary(edges.select(F.col("source_path").alias("v")).union(edges.select("target_path")), "v", "P")
+    names = dictionary(edges.select(F.coalesce("source_qualified_name", "source_name").alias("v")).union(edges.select(F.coalesce("target_qualified_name", "target_name"))), "v", "N")
+    relations, confidences = dictionary(edges, "relation", "R"), dictionary(edges, "resolution_confidence", "C")
+    coded = edges.withColumn("source", F.coalesce("source_qualified_name", "source_name")).withColumn("target", F.coalesce("target_qualified_name", "target_name"))
+    for column, codes in (("source_path", paths), ("target_path", paths), ("source", names), ("target", names), ("relation", relations), ("resolution_confidence", confidences)):
+        coded = coded.join(codes.select(F.col("value").alias(column), F.col("code").alias(f"{column}_code")), column, "left")
+    entry = F.struct("line", "id", F.col("relation_code").alias("relation"), F.col("target_code").alias("target"), F.coalesce("target_path_code", F.lit("")).alias("path"), F.col("resolution_confidence_code").alias("confidence"))
+    groups = coded.groupBy("project", F.col("source_path_code").alias("path"), F.col("source_code").alias("name")).agg(F.array_sort(F.collect_list(entry)).alias("edges"))
+    return {"paths": paths, "names": names, "relations": relations, "confidences": confidences, "groups": groups}
+
+
+def claim_id(text: Column, kind: Column) -> Column:
+    """The name of a claim by what it says."""
+    return F.concat(F.lit("C"), F.substring(F.sha2(F.concat_ws("\x1f", text, kind), 256), 1, 16))
+
+
 def merge_claims(claims: DataFrame) -> DataFrame:
     """claim_id, support, evidence, contradicted: claims of one text merged; nothing is removed.
 
     claims: at, text, kind, support ('support', 'refute' or 'unknown'), evidence. The first known support is kept; a claim
     that is both supported and refuted is marked.
     """
-    key = F.concat(F.lit("C"), F.substring(F.sha2(F.concat_ws("\x1f", "text", "kind"), 256), 1, 16)).alias("claim_id")
+    key = claim_id(F.col("text"), F.col("kind")).alias("claim_id")
     known = F.when(F.col("support") != "unknown", F.col("support"))
     grouped = claims.groupBy(key).agg(F.min_by(known, F.when(known.isNotNull(), F.col("at"))).alias("support"), F.count_distinct("evidence").alias("evidence"), F.count_distinct(known).alias("states"))
     return grouped.select("claim_id", F.coalesce("support", F.lit("unknown")).alias("support"), "evidence", (F.col("states") > 1).cast("int").alias("contradicted"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quernstone.sources.store import GenerationStore
+from quernstone.operators.atlas import claim_id
+from quernstone.sources.store import GenerationStore, ProjectStore
 
 PLACE = ("project", "path", "start_line")
 
@@ -29,7 +32,7 @@ def merge_chunks(published: DataFrame | None, arrived: DataFrame) -> DataFrame:
 
 
 def refresh_stream(stream: DataFrame, store: GenerationStore, checkpoint: str, table: str = "chunks") -> StreamingQuery:
-    """Publish a generation per micro-batch; a batch that is repeated after a failure writes the same generation again."""
+    """Publish a generation of the whole table per micro-batch; a batch that is repeated after a failure writes the same generation again."""
 
     def publish(batch: DataFrame, number: int) -> None:
         generation = f"g{number:012d}"
@@ -41,6 +44,43 @@ def refresh_stream(stream: DataFrame, store: GenerationStore, checkpoint: str, t
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def refresh_projects(stream: DataFrame, store: ProjectStore, checkpoint: str) -> StreamingQuery:
+    """Publish, per micro-batch, only the projects that it holds files of; a repeated batch publishes the same generation again."""
+
+    def publish(batch: DataFrame, number: int) -> None:
+        generation = f"g{number:012d}"
+        for row in batch.select("project").distinct().toLocalIterator():  # names of projects
+            own = store.snapshot(row["project"])
+            if own is None or own["generation_id"] != generation:
+                arrived = batch.where(F.col("project") == row["project"])
+                store.publish(row["project"], generation, {"chunks": merge_chunks(store.read("chunks", row["project"]), arrived)}, {"commit_hash": ""})
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def claim_stream(claims: DataFrame) -> DataFrame:
+    """claim_id, support, evidence, contradicted: a stream of claims (text, kind, support, evidence) merged as it comes; nothing is removed.
+
+    State is kept per claim: the first known support, the evidence named so far and whether both support and refutal were seen.
+    """
+
+    def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        support, evidence, states = state.get if state.exists else ("unknown", "", "")
+        held, seen = set(filter(None, evidence.split("\x1f"))), set(filter(None, states.split(",")))
+        for frame in frames:
+            for own, source in zip(frame["support"], frame["evidence"], strict=True):
+                if own in ("support", "refute"):
+                    support = own if support == "unknown" else support
+                    seen.add(own)
+                if source:
+                    held.add(source)
+        state.update((support, "\x1f".join(sorted(held)), ",".join(sorted(seen))))
+        yield pd.DataFrame({"claim_id": [key[0]], "support": [support], "evidence": [len(held)], "contradicted": [int(len(seen) > 1)]})
+
+    keyed = claims.withColumn("claim_id", claim_id(F.col("text"), F.col("kind")))
+    return keyed.groupBy("claim_id").applyInPandasWithState(merge, "claim_id string, support string, evidence bigint, contradicted int", "support string, evidence string, states string", "update", GroupStateTimeout.NoTimeout)
+
+
 def embedding_stream(stream: DataFrame, embed: Callable[[DataFrame], DataFrame], known: Callable[[], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Embed the chunks of each micro-batch whose content has no vector yet.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REPOS = "project string, root string, commit_hash string, content_digest string, extractor_version string, generation_id string, indexed_at timestamp"
 CHUNKS = "id bigint, project string, path string, start_line int, end_line int, commit_hash string, generation_id string, content string"
@@ -24,3 +26,9 @@ EVAL_ITEMS = "item_id bigint, suite string, lang string, text string"
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables, whole."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def conformed(df: DataFrame, schema: str) -> DataFrame:
+    """df with exactly the columns of a schema, in its order and types; columns that it lacks are null, others are left out."""
+    fields = StructType.fromDDL(schema).fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
