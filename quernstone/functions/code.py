@@ -77,3 +77,27 @@ def strict_json(raw: str) -> dict:
     if not isinstance(value, dict):
         raise ValueError("not an object")
     return value
+
+
+def strict_object(raw: Column) -> Column:
+    """The variant of a text that is one JSON object, perhaps in a Markdown fence; null for anything else, repeated keys and NaN included."""
+    value = F.try_parse_json(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def metadata_object(raw: Column) -> Column:
+    """Metadata as the canonical text of an object: its keys in order; what is JSON but no object as {"value": ...}, what is none as {"raw": ...}."""
+    value = F.try_parse_json(F.coalesce(raw, F.lit("{}")))
+    text = F.to_json(value)
+    return F.when(value.isNull(), F.to_json(F.struct(F.coalesce(raw, F.lit("")).alias("raw")))).when(F.schema_of_variant(value).startswith("OBJECT"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}")))
+
+
+def matched_terms(path: Column, content: Column, terms: list[str], most: int = 8) -> Column:
+    """The terms that a file's path or text holds, in order, the first ``most`` of them."""
+    hay = F.lower(F.concat_ws("\n", path, content))
+    return F.slice(F.filter(F.array(*map(F.lit, sorted(terms))) if terms else F.array().cast("array<string>"), lambda t: F.contains(hay, t)), 1, most)
+
+
+def name_tokens(name: Column) -> Column:
+    """The distinct runs of more than two letters and digits in a name."""
+    return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: F.length(t) > 2))

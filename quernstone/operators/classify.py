@@ -20,26 +20,43 @@ SECRET = r"(?i)(^|/)(\.env($|\.)|.*\.(pem|key|p12|pfx)$)"
 CONFIG_NAMES = ("package.json", "pyproject.toml", "cargo.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "makefile")
 
 
+def _rules(path: Column) -> list[tuple[str, str, Column]]:
+    """(reason, authority, condition), in order: the first that holds decides."""
+    low = F.lower(path)
+    parts = F.split(low, "/")
+    name = F.element_at(parts, -1)
+    folders = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
+    return [
+        ("history folder", "historical", low.contains("/history/") | low.startswith("docs/history/")),
+        ("generated types", "generated", low.endswith("src/integrations/supabase/types.ts")),
+        ("migration", "schema_history", low.startswith("migrations/") | low.contains("/migrations/")),
+        ("instructions", "canonical", low.endswith("agents.md")),
+        ("reference documents", "canonical", low.startswith("docs/architecture/") | low.startswith("docs/reference/")),
+        ("documents", "active", low.startswith("docs/")),
+        ("configuration", "config", name.isin(*CONFIG_NAMES) | name.rlike(r"^(tsconfig|jest\.config|vitest\.config|vite\.config)")),
+        ("project document", "active", name.isin("readme.md", "contributing.md", "code_of_conduct.md")),
+        ("change log", "historical", name.isin("changelog.md", "history.md", "changes.md")),
+        ("text or workflow", "active", name.rlike(r"\.(md|rst)$") | low.startswith(".github/")),
+        ("test", "test", F.arrays_overlap(folders, F.array(*map(F.lit, ("test", "tests", "spec", "specs", "__tests__")))) | name.rlike(r"\.test\.|\.spec\.|_test\.|_spec\.")),
+        ("source", "code", F.lit(True)),
+    ]
+
+
+def _first(path: Column, what: int) -> Column:
+    out = F.when(path.isNull(), F.lit(None).cast("string"))
+    for rule in _rules(path):
+        out = out.when(rule[2], rule[what])
+    return out
+
+
 def authority_of(path: Column) -> Column:
     """The authority class of a path: the first rule that matches decides; null for a null path."""
-    low = F.lower(path)
-    name = F.element_at(F.split(low, "/"), -1)
-    folders = F.slice(F.split(low, "/"), 1, F.greatest(F.lit(0), F.size(F.split(low, "/")) - 1))
-    return (
-        F.when(path.isNull(), F.lit(None).cast("string"))
-        .when(low.contains("/history/") | low.startswith("docs/history/"), "historical")
-        .when(low.endswith("src/integrations/supabase/types.ts"), "generated")
-        .when(low.startswith("migrations/") | low.contains("/migrations/"), "schema_history")
-        .when(low.endswith("agents.md"), "canonical")
-        .when(low.startswith("docs/architecture/") | low.startswith("docs/reference/"), "canonical")
-        .when(low.startswith("docs/"), "active")
-        .when(name.isin(*CONFIG_NAMES) | name.rlike(r"^(tsconfig|jest\.config|vitest\.config|vite\.config)"), "config")
-        .when(name.isin("readme.md", "contributing.md", "code_of_conduct.md"), "active")
-        .when(name.isin("changelog.md", "history.md", "changes.md"), "historical")
-        .when(name.rlike(r"\.(md|rst)$") | low.startswith(".github/"), "active")
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, ("test", "tests", "spec", "specs", "__tests__")))) | name.rlike(r"\.test\.|\.spec\.|_test\.|_spec\."), "test")
-        .otherwise("code")
-    )
+    return _first(path, 1)
+
+
+def reason_of(path: Column) -> Column:
+    """The rule that decided on a path's authority; null for a null path."""
+    return _first(path, 0)
 
 
 def is_searchable(authority: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators.classify import authority_of
+from quernstone.operators.classify import authority_of, reason_of
 from quernstone.operators.files import WHOLE, each_block, windows_by_block
 from quernstone.operators.graph import UNRESOLVED, latest_definitions, resolve_targets
 
@@ -397,7 +397,7 @@ def build_graph(chunks: DataFrame, generation: Column | None = None) -> dict[str
     edges = edges.withColumn("id", F.xxhash64("project", "source_path", "source_qualified_name", "relation", "target_name", "target_qualified_name", "line", "metadata"))
     active = resolve_targets(edges, symbols).where("target_path is not null").select("id", F.col("target_path").alias("sql_path")).dropDuplicates(["id"])
     edges = edges.join(active, "id", "left").withColumn("resolution_confidence", F.when(F.col("sql_path").isNotNull(), "active_sql").otherwise(F.col("resolution_confidence"))).withColumn("target_path", F.coalesce("target_path", "sql_path")).drop("sql_path")
-    authority = files.select("project", "path", authority_of(F.col("path")).alias("authority"), F.lit("path rule").alias("reason"))
+    authority = files.select("project", "path", authority_of(F.col("path")).alias("authority"), reason_of(F.col("path")).alias("reason"))
     return {name: df.join(own, "project") for name, df in {"source_authority": authority, "symbols": symbols, "edges": edges}.items()}
 
 

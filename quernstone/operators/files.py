@@ -73,3 +73,9 @@ def each_block(batches: Iterator[pa.RecordBatch], block_lines: int = BLOCK_LINES
             first, text = join_windows(s, t, block, block_lines)
             out.append((project, path, block, first, text))
         yield out
+
+
+def file_texts(chunks: DataFrame) -> DataFrame:
+    """project, path, chunks, text: a file's windows one behind the other, in order of line and id; lines that windows share come twice."""
+    own = chunks.where("content is not null").groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "content"))).alias("w"))
+    return own.select("project", "path", F.size("w").cast("bigint").alias("chunks"), F.array_join(F.col("w.content"), "\n").alias("text"))

@@ -19,6 +19,7 @@ from quernstone.session import cut
 # How many files a lane may fill, and the kinds whose best files have slots of their own.
 LANE_CAPS = {"implementation": 4, "persistence": 4, "retries": 3, "scheduling": 2, "constraints": 2, "tests": 3}
 KIND_SLOTS = {"sql_override_chain": 4, "dispatch_override_chain": 4, "inheritance_chain": 4, "query_related_ui": 5, "rpc_consumer": 5, "generated_contract_consumer": 2}
+MOST_CONSTRAINTS = 8
 
 
 def _reason(df: DataFrame, score, kind: str) -> DataFrame:
@@ -46,7 +47,9 @@ def reasons(seeds: DataFrame, edges: DataFrame, symbols: DataFrame, chunks: Data
     overridden = _reason(overrides.select("project", "path").distinct(), 72, "sql_override_chain")
     bound = scripts.where(F.lower("content").rlike("unique index|exclude using|foreign key")).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n"))
     seed_projects = seeds.select("project").distinct()
-    constraints = _reason(bound.join(seed_projects, "project", "left_semi"), 54 + 2 * F.least(F.lit(3), F.col("n")) + 6 * affinity(F.col("path"), terms), "constraint_candidate")
+    weighed = bound.join(seed_projects, "project", "left_semi").withColumn("weight", 54 + 2 * F.least(F.lit(3), F.col("n")) + 6 * affinity(F.col("path"), terms))
+    first = weighed.withColumn("k", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("weight"), "path"))).where(F.col("k") <= MOST_CONSTRAINTS)
+    constraints = _reason(first, F.col("weight"), "constraint_candidate")
     pages = chunks.where(F.lower("path").rlike(r"/pages/|/components/|\.tsx$")).select("project", "path").distinct()
     ui = _reason(pages.join(seed_projects, "project", "left_semi").where(affinity(F.col("path"), terms) > 0), 52, "query_related_ui")
     keys = query_keys(chunks)

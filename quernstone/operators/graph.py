@@ -202,6 +202,18 @@ def cache_key_audit(chunks: DataFrame) -> DataFrame:
     return keys.where("not invalidated").select("project", "key").distinct().join(keys.where("invalidated").select("project", "key"), ["project", "key"], "left_anti")
 
 
+def scoped_cache_audit(chunks: DataFrame, scope: DataFrame, imports: DataFrame) -> DataFrame:
+    """project, key: keys that files of the scope (project, path) use and neither they nor the files they import invalidate.
+
+    imports: project, source_path, target_path.
+    """
+    keys, own = query_keys(chunks), scope.select("project", "path").distinct()
+    helpers = imports.join(own.withColumnRenamed("path", "source_path"), ["project", "source_path"], "left_semi").select("project", F.col("target_path").alias("path"))
+    used = keys.where("not invalidated").join(own, ["project", "path"], "left_semi").select("project", "key").distinct()
+    dropped = keys.where("invalidated").join(own.union(helpers).distinct(), ["project", "path"], "left_semi").select("project", "key")
+    return used.join(dropped, ["project", "key"], "left_anti")
+
+
 def facet_coverage(chunks: DataFrame, facets: dict[str, tuple[str, ...]]) -> DataFrame:
     """project, facet, files: how many files of a project speak of each facet, 0 included; one pass for all facets."""
     low = F.lower("content")

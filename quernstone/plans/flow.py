@@ -106,12 +106,14 @@ def symbol_excerpts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Text lines that describe the symbols of files that write a resource."""
+    """Text lines that describe the symbols and edges of files that write a resource."""
     edges = _current(spark, folder, "edges")
     files = edges.where((F.col("target_name") == RESOURCE) & (F.col("relation") == "writes_table")).select("project", F.col("source_path").alias("path")).distinct()
     symbols = _current(spark, folder, "symbols").join(files, ["project", "path"], "left_semi")
     line = F.concat_ws(" ", F.lit("SYMBOL"), "kind", "qualified_name", F.concat_ws(":", "path", F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))))
-    return symbols.select("id", line.alias("line"))
+    own = edges.withColumnRenamed("source_path", "path").join(files, ["project", "path"], "left_semi")
+    link = F.concat_ws(" ", F.lit("EDGE"), "source_name", F.concat(F.lit("-["), F.col("relation"), F.lit("]->")), "target_name", F.concat_ws(":", "path", F.col("line").cast("string")))
+    return symbols.select("id", line.alias("line")).unionByName(own.select("id", link.alias("line")))
 
 
 def graph_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +154,7 @@ _REASONS = f"""{_SEED}, {_LINKS}, sy {_S[2:]},
   union all select distinct e.project, source_path, 64, 'rpc_consumer' from e semi join nm on e.project = nm.project and {_BARE.format(x='e.target_name')} = nm.n where relation = 'calls_rpc'
   union all select distinct e.project, source_path, 56, 'edge_function_invoker' from e semi join nm on e.project = nm.project and {_BARE.format(x='e.target_name')} = nm.n where relation = 'invokes_edge_function'
   union all select distinct sy.project, sy.path, 72, 'sql_override_chain' from sy semi join nm on sy.project = nm.project and {_BARE.format(x='sy.name')} = nm.n where ends_with(sy.path, '.sql') and kind = 'function'
-  union all select project, path, (54 + 2 * least(3, n) + 6 * ({_AFF}))::int, 'constraint_candidate' from (select project, path, count(*) n from cur where ends_with(path, '.sql') and regexp_matches(lower(content), 'unique index|exclude using|foreign key') group by all) semi join sp using (project)
+  union all select project, path, w, 'constraint_candidate' from (select project, path, w, row_number() over (partition by project order by w desc, path) k from (select project, path, (54 + 2 * least(3, n) + 6 * ({_AFF}))::int w from (select project, path, count(*) n from cur where ends_with(path, '.sql') and regexp_matches(lower(content), 'unique index|exclude using|foreign key') group by all) z) x semi join sp using (project)) y where k <= 8
   union all select distinct project, path, 52, 'query_related_ui' from cur semi join sp using (project) where regexp_matches(lower(path), '/pages/|/components/|\\.tsx$') and ({_AFF}) > 0
   union all select distinct dy.project, dy.path, 55, 'cache_invalidator' from dy semi join (select ky.project, k from ky semi join sf on ky.project = sf.project and ky.path = sf.path) z on dy.project = z.project and dy.k = z.k),
  ff as (select project, path, max(score) score, string_agg(distinct kind, ',' order by kind) kinds from rs group by all), fl as (select *, {_LANE} lane from ff)"""
@@ -173,7 +175,7 @@ ORACLE_SQL = {
     "vector_cache_misses": f"with {_CHUNKS}, c as (select id, sha256(content) h from cur where content is not null), v as (select distinct chunk_id id from chunk_embeddings where vector is not null), y as (select distinct h from c semi join v using (id)) select h content_hash, count(*) chunks from c anti join y using (h) group by h",
     "citations": f"with {_CHUNKS} select id, project || ':' || path || ':' || start_line || '-' || end_line citation from cur where {_AUTHORITY.format(p='path')} in {_SEARCHABLE}",
     "symbol_excerpts": f"with {_CHUNKS}, {_S}, h as (select s.id symbol_id, s.start_line a, s.end_line b, greatest(coalesce(c.start_line, 1), 1) f, str_split(content, chr(10)) ls from s join cur c on c.project = s.project and c.path = s.path where kind <> 'module' and content is not null and c.start_line <= s.end_line), l as (select symbol_id, a, b, f, unnest(ls) x, generate_subscripts(ls, 1) + f - 1 ln from h where f + len(ls) - 1 >= a), o as (select symbol_id, a, b, ln, arg_min(x, (f, x)) x from l where ln between a and b group by all), t as (select symbol_id, any_value(b - a + 1) n, count(*) k, string_agg(ln || ': ' || x, chr(10) order by ln) x from o group by symbol_id) select symbol_id, length(x) characters, sha256(x) digest, (n - k)::bigint missing from t",
-    "graph_lines": f"with {_E}, {_S}, f as (select distinct project, source_path path from e where target_name = '{RESOURCE}' and relation = 'writes_table') select id, concat_ws(' ', 'SYMBOL', kind, qualified_name, path || ':' || start_line || '-' || end_line) line from s semi join f using (project, path)",
+    "graph_lines": f"with {_E}, {_S}, f as (select distinct project, source_path path from e where target_name = '{RESOURCE}' and relation = 'writes_table') select id, concat_ws(' ', 'SYMBOL', kind, qualified_name, path || ':' || start_line || '-' || end_line) line from s semi join f using (project, path) union all select id, concat_ws(' ', 'EDGE', source_name, '-[' || relation || ']->', target_name, concat_ws(':', source_path, line::varchar)) from e semi join f on f.project = e.project and f.path = e.source_path",
     "graph_digest": f"with {_E}, h as (select distinct id, project, ('0x' || left(sha256(concat_ws('|', id::varchar, source_path, relation, target_name)), 12))::bigint h from e) select project, count(*) edges, sum(h)::varchar digest from h group by project",
     "anchor_authorities": f"with {_SEED}, c as (select {_AUTHORITY.format(p='path')} authority, {_LANE} lane, count(*) seeds from seeds group by 1, 2) select authority, lane, seeds, round(seeds / (select sum(seeds) from c), 4) as share from c",
 }

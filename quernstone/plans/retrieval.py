@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import INTENTS, active_intents, capped_frequency, query_terms, tokens
 from quernstone.operators.chunking import line_windows, token_estimate
-from quernstone.operators.classify import EXTENSIONS, SECRET, SKIP_FOLDERS, SKIP_NAMES, authority_of, is_indexable_path, is_safe_path, is_searchable, is_secret_path
+from quernstone.operators.classify import EXTENSIONS, SECRET, SKIP_FOLDERS, SKIP_NAMES, authority_of, is_indexable_path, is_safe_path, is_searchable, is_secret_path, reason_of
 from quernstone.operators.current import current_rows, stale_counts
 from quernstone.operators.fusion import reciprocal_ranks, rerank, retrieval_multiplier
 from quernstone.operators.graph import lane_of
@@ -61,7 +63,7 @@ def searchable_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def classify_paths(spark: SparkSession, folder: str) -> DataFrame:
     listed = table(spark, folder, "source_authority").select("project", "path").distinct()
-    return listed.select("project", "path", authority_of(F.col("path")).alias("authority"))
+    return listed.select("project", "path", authority_of(F.col("path")).alias("authority"), reason_of(F.col("path")).alias("reason"))
 
 
 def authority_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,6 +276,8 @@ _LANE = """case when {a} = 'test' or regexp_matches(lower(path), '(^|/)(tests?|s
  when {a} = 'schema_history' or ends_with(lower(path), '.sql') then 'persistence' else 'implementation' end""".replace("{a}", "(" + _AUTHORITY.format(p="path") + ")")
 _ENDINGS = "(" + " or ".join(f"ends_with(lower(path), '{e}')" for e in EXTENSIONS) + ")"
 _A = _AUTHORITY.format(p="path")
+_LABELS = iter(("history folder", "generated types", "migration", "instructions", "reference documents", "documents", "configuration", "project document", "change log", "text or workflow", "test"))
+_REASON = re.sub(r"then '\w+'", lambda _: f"then '{next(_LABELS)}'", _A).replace("else 'code'", "else 'source'")
 ORACLE_SQL = {
     "chunk_lines": f"with {_LINES} select doc_id, (k + 1)::int start_line, least(k + {SIZE}, n)::int end_line, array_to_string(ls[k + 1 : k + {SIZE}], chr(10)) as content from w",
     "chunk_counts": f"with {_LINES} select doc_id, count(*) chunks, max(least(k + {SIZE}, n))::bigint lines from w group by doc_id",
@@ -282,7 +286,7 @@ ORACLE_SQL = {
     "bm25_topk": f"with {_BM25} select id, round(score, 5) score from scored order by 2 desc, 1 limit {POOL}",
     "bm25_by_project": f"with {_BM25}, x as (select c.project, id, round(score, 5) score from scored join cur c using (id)), y as (select *, row_number() over (partition by project order by score desc, id) place from x) select project, id, score, place from y where place <= 3",
     "searchable_topk": f"with {_BM25} select id, round(score, 5) score from scored join cur c using (id) where {_AUTHORITY.format(p='c.path')} in {_SEARCHABLE} order by 2 desc, 1 limit {POOL}",
-    "classify_paths": f"select distinct project, path, {_A} as authority from source_authority",
+    "classify_paths": f"select distinct project, path, {_A} as authority, {_REASON} as reason from source_authority",
     "authority_counts": f"select stated, {_A} by_path, count(*) files from (select project, path, min(lower(trim(authority))) stated from source_authority group by all) group by 1, 2",
     "path_predicates": f"select path, regexp_matches(path, '{SECRET}')::int secret, (length(path) > 0 and not starts_with(path, '/') and not regexp_matches(path, '(^|/)\\.\\.(/|$)'))::int safe, ({_ENDINGS} and not regexp_matches(path, '{SECRET}') and regexp_extract(lower(path), '[^/]*$') not in {SKIP_NAMES!r} and len(list_intersect(str_split(lower(path), '/'), {list(SKIP_FOLDERS)!r})) = 0)::int indexable from (select distinct path from source_authority where path is not null)",
     "searchable_chunks": f"with {_CHUNKS} select project, count(*) chunks from cur where {_A} in {_SEARCHABLE} group by project",

@@ -305,3 +305,27 @@ def test_streams(spark, tmp_path):
 def test_conformed(spark):
     df = conformed(spark.createDataFrame([("7", "x")], "id string, other string"), CHUNKS)
     assert df.columns == ["id", "project", "path", "start_line", "end_line", "commit_hash", "generation_id", "content"] and df.first().id == 7 and df.first().content is None
+
+
+def test_small_functions(spark, tmp_path):
+    from quernstone.functions.code import matched_terms, metadata_object, name_tokens, strict_object
+    from quernstone.operators.classify import authority_of, reason_of
+    from quernstone.operators.files import file_texts
+    from quernstone.operators.graph import scoped_cache_audit
+    from quernstone.sources.extracted import read_extracted
+
+    df = spark.createDataFrame([('{"b":1,"a":2}',), ("[1]",), ("no",), (None,), ('```json\n{"x": 1}\n```',), ('{"x":1,"x":2}',), ('{"x": NaN}',)], "m string")
+    got = [(r.o, r.s) for r in df.select(metadata_object(F.col("m")).alias("o"), strict_object(F.col("m")).isNotNull().alias("s")).collect()]
+    assert got[:4] == [('{"a":2,"b":1}', True), ('{"value":[1]}', False), ('{"raw":"no"}', False), ("{}", False)] and [s for _, s in got[4:]] == [True, False, False]
+    row = spark.range(1).select(matched_terms(F.lit("src/Retry.ts"), F.lit("OUTBOX"), ["retry", "outbox", "x9"]).alias("t"), name_tokens(F.lit("public.guest_stay_ab")).alias("n"), authority_of(F.lit("docs/history/a.md")).alias("a"), reason_of(F.lit("docs/history/a.md")).alias("r"), reason_of(F.lit(None).cast("string")).alias("none")).first()
+    assert (row.t, row.n, row.a, row.r, row.none) == (["outbox", "retry"], ["public", "guest", "stay"], "historical", "history folder", None)
+    chunks = spark.createDataFrame([chunk(2, "p", "a.ts", 3, "b"), chunk(1, "p", "a.ts", 1, "a"), chunk(3, "p", "n.ts", 1, None), chunk(4, "p", "u.ts", 1, "queryKey: ['k']; queryKey: ['l']"), chunk(5, "p", "h.ts", 1, "invalidateQueries({ queryKey: ['k'] })"), chunk(6, "p", "far.ts", 1, "invalidateQueries({ queryKey: ['l'] })")], CHUNKS)
+    assert {r.path: r.text for r in file_texts(chunks).collect()}["a.ts"] == "a\nb"
+    imports = spark.createDataFrame([("p", "u.ts", "h.ts")], "project string, source_path string, target_path string")
+    assert [r.key for r in scoped_cache_audit(chunks, spark.createDataFrame([("p", "u.ts")], "project string, path string"), imports).collect()] == ["l"]
+    (tmp_path / "s.json").write_text('{"project":"p","path":"a.ts","kind":"function","name":"f","start_line":1,"end_line":2,"signature":"' + "x" * 600 + '"}\n{"name":""}\nbroken\n')
+    (tmp_path / "e.json").write_text('{"project":"p","source_path":"a.ts","source_name":"f","relation":"calls","target_name":"g","line":2,"metadata":{"n":1}}\n{"target_name":""}\n')
+    graph = read_extracted(spark, str(tmp_path / "s.json"), str(tmp_path / "e.json"))
+    s, e = graph["symbols"].collect(), graph["edges"].collect()
+    assert len(s) == 1 and (s[0].qualified_name, s[0].active, len(s[0].signature)) == ("f", 1, 500)
+    assert len(e) == 1 and (e[0].source_qualified_name, e[0].resolution_confidence, e[0].metadata) == ("f", "unresolved", '{"n":1}')
