@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators.atlas import batches_by_cost, dictionary, merge_claims, ownership_errors, skeleton
+from quernstone.operators.atlas import batches_by_cost, dictionary, merge_claims, skeleton
 from quernstone.operators.classify import authority_of
 from quernstone.operators.current import current_rows
 from quernstone.operators.graph import (
     anchor_calls,
-    cache_key_audit,
     callee_hints,
     callers_with_chunks,
     contract_differences,
@@ -133,10 +132,6 @@ def facets(spark: SparkSession, folder: str) -> DataFrame:
     return facet_coverage(_current(spark, folder, "chunks"), FACETS)
 
 
-def cache_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return cache_key_audit(_current(spark, folder, "chunks"))
-
-
 def constraint_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Scripts with constraints, and how many of them each holds (3 count at most) as a score."""
     scripts = _current(spark, folder, "chunks").where(F.col("path").endswith(".sql") & F.col("content").isNotNull())
@@ -198,12 +193,6 @@ def atlas_batches(spark: SparkSession, folder: str) -> DataFrame:
     return batches_by_cost(_current(spark, folder, "edges"), 60_000, cost).groupBy("project", "batch").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def atlas_ownership(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges that the batches fail to hold exactly once: none."""
-    edges = _current(spark, folder, "edges")
-    return ownership_errors(edges, batches_by_cost(edges, 60_000, F.length("source_path") + F.length("target_name") + 20))
-
-
 def claim_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Files' authority statements as claims: that a file is generated, supported or refuted by its rows."""
     rows = table(spark, folder, "source_authority").where("project is not null and path is not null")
@@ -215,8 +204,8 @@ def claim_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 _FUNCTIONS = (
     relation_counts, latest_definition, superseded_counts, resolved_targets, covering_symbol, range_join_callers, symbol_lookup, fuzzy_suggest, incident_edges, two_hop_expand, shared_resource, reverse_callee_hints, anchors, contract_diff,
-    sql_lineage, dependency_map, reverse_dependency_map, operations, metadata_kinds, facets, cache_keys, constraint_candidates, lane_role_counts, retrieval_diagnostic, generation_diff, uniformity, purge, content_digest, evidence_dedupe,
-    atlas_skeleton, atlas_dictionary, atlas_batches, atlas_ownership, claim_merge,
+    sql_lineage, dependency_map, reverse_dependency_map, operations, metadata_kinds, facets, constraint_candidates, lane_role_counts, retrieval_diagnostic, generation_diff, uniformity, purge, content_digest, evidence_dedupe,
+    atlas_skeleton, atlas_dictionary, atlas_batches, claim_merge,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -251,7 +240,6 @@ ORACLE_SQL = {
     "operations": f"with {_E} select project, target_name, count(*) writes from e where case when json_valid(metadata) then json_extract_string(metadata, '$.operation') end in {OPERATIONS!r} group by all",
     "metadata_kinds": f"with {_E} select case when metadata is null then 'none' when json_valid(metadata) then 'json' else 'raw' end form, count(*) edges from e group by 1",
     "facets": f"with {_CHUNKS}, f as (select project, path, " + ", ".join(f"bool_or(coalesce({' or '.join(f"contains(lower(content), '{w}')" for w in words)}, false)) {n}" for n, words in FACETS.items()) + " from cur group by all) " + " union all ".join(f"select project, '{n}' facet, count(*) filter ({n}) files from f group by project" for n in FACETS),
-    "cache_keys": f"""with {_CHUNKS}, u as (select distinct project, unnest(regexp_extract_all(content, '(?i)queryKey\\s*:\\s*\\[\\s*[''"]([^''"]+)[''"]', 1)) as key from cur), d as (select distinct project, unnest(regexp_extract_all(content, '(?i)invalidateQueries\\(\\s*\\{{\\s*queryKey\\s*:\\s*\\[\\s*[''"]([^''"]+)[''"]', 1)) as key from cur) select * from u anti join d using (project, key)""",
     "constraint_candidates": f"with {_CHUNKS}, x as (select project, path, max(54 + 2 * least(3, len(regexp_extract_all(lower(content), 'unique index|exclude using|check \\(|foreign key|references'))))::bigint score, min(start_line) first_line, max(end_line) last_line from cur where ends_with(path, '.sql') and content is not null group by all) select * from x where score > 54",
     "lane_role_counts": f"with {_HOPS} select project, {_LANE} lane, count(*) files, max(score)::bigint best from hops group by 1, 2",
     "retrieval_diagnostic": f"with {_HOPS}, l as (select project, {_LANE} lane, count(*) files from hops group by 1, 2), g as (select project, sum(files)::bigint total, max(files) dominant, count(*) lanes, sum(case when lane = 'tests' then files else 0 end) tests from l group by 1), w as (select *, round(dominant / total, 3) ratio from g), v as (select *, concat_ws(',', case when ratio >= 0.6 and total >= 5 then 'lane_concentration' end, case when tests >= 2 and tests = total then 'test_anchor_dominance' end, case when lanes = 1 then 'thin_role_coverage' end) warnings from w) select project, total, ratio dominant_ratio, lanes, warnings, case when lanes < 2 and total < 2 then 'weak' when length(warnings) > 0 then 'review' else 'healthy' end quality from v",
@@ -263,6 +251,5 @@ ORACLE_SQL = {
     "atlas_skeleton": f"with {_E}, o as (select id, min(project) project, min(source_path) source_path, min(relation) relation from e group by id) select project, source_path, relation, count(*) edges from o group by 1, 2, 3",
     "atlas_dictionary": f"with {_E}, v as (select distinct source_path as value from e where source_path is not null) select value, 'P' || lower(to_base(row_number() over (order by value) - 1, 36)) code from v",
     "atlas_batches": f"with {_BATCHES} select project, batch, count(*) edges from bt group by all",
-    "atlas_ownership": f"with {_E} select id, 0::bigint times from e where false",
     "claim_merge": "with c as (select concat_ws('/', project, path) t, case when authority is null then 'unknown' when lower(trim(authority)) = 'generated' then 'support' else 'refute' end s, coalesce(reason, '') r from source_authority where project is not null and path is not null) select 'C' || left(sha256(t || chr(31) || 'generated'), 16) claim_id, coalesce(arg_min(case when s <> 'unknown' then s end, case when s <> 'unknown' then concat_ws('|', s, r) end), 'unknown') support, count(distinct r) evidence, (count(distinct case when s <> 'unknown' then s end) > 1)::int contradicted from c group by t",
 }

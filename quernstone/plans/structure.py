@@ -12,7 +12,7 @@ from quernstone.operators.extract import build_graph, extract_edges, extract_sym
 from quernstone.operators.graph import covering_symbols, lineage
 from quernstone.plans.retrieval import QUESTION, _scored
 from quernstone.streaming.refresh import activity
-from quernstone.tables import table
+from quernstone.tables import CHUNKS, conformed, table
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,8 +27,14 @@ def extracted_edges(spark: SparkSession, folder: str) -> DataFrame:
     return extract_edges(_chunks(spark, folder))
 
 
+# Files that import each other, since the tables' imports name no files of theirs.
+PLANTED = (("src/app/main.ts", 'import { a } from "./lib";\nimport b from "../util/b";\nimport "react";\n'), ("src/app/lib/index.ts", 'export const a = () => 1;\n'), ("src/util/b.tsx", 'import * as m from "@/app/main";\nexport default m;\n'), ("src/util/b/index.js", ""))
+
+
 def extracted_imports(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder)
+    """Imports that name a file, of all chunks and of planted files."""
+    planted = conformed(spark.createDataFrame([("planted", path, 1, text) for path, text in PLANTED], "project string, path string, start_line int, content string"), CHUNKS)
+    chunks = conformed(_chunks(spark, folder), CHUNKS).unionByName(planted)
     return resolve_imports(extract_edges(chunks), chunks.select("project", "path"))
 
 

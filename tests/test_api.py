@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.api import Engine, extractor_fingerprint
-from quernstone.operators import atlas, context, ledger, publish, trace
+from quernstone.operators import atlas, context, hints, ledger, publish, trace
 from quernstone.operators.search import Reranker, cached_vectors, mixed_intent, retrieve, should_rerank
 from quernstone.sources.registry import Registry
 from quernstone.sources.store import ProjectStore
@@ -329,3 +329,60 @@ def test_small_functions(spark, tmp_path):
     s, e = graph["symbols"].collect(), graph["edges"].collect()
     assert len(s) == 1 and (s[0].qualified_name, s[0].active, len(s[0].signature)) == ("f", 1, 500)
     assert len(e) == 1 and (e[0].source_qualified_name, e[0].resolution_confidence, e[0].metadata) == ("f", "unresolved", '{"n":1}')
+
+
+def hit(rank, path, start=1, end=40, content="x", authority="code"):
+    return (rank, "p", path, start, end, content, authority, 1.0 - rank / 100)
+
+
+HIT = "rank int, project string, path string, start_line int, end_line int, content string, authority string, score double"
+
+
+def test_hints_on_hits(spark):
+    """Callers of a callee that the question names, elsewhere; what an anchor calls; where contracts differ."""
+    calls = [("lib/defaults.js", "transformRequest", 12, "isFormData"), ("lib/defaults.js", "transformRequest", 13, "isBlob"), ("lib/defaults.js", "transformRequest", 14, "isFile"), ("lib/http.js", "dispatchHttp", 22, "isFormData"), ("lib/http.js", "dispatchHttp", 24, "isStream"), ("test/utils.js", "check", 5, "isFormData")]
+    edges = spark.createDataFrame([edge(k, source_path=p, source_name=n, source_qualified_name=n, line=at, target_name=t, target_path="lib/utils.js") for k, (p, n, at, t) in enumerate(calls)] + [edge(99, source_path="lib/far.js", target_name="isFormData", target_path="lib/utils.js", resolution_confidence="unresolved")], EDGES)
+    symbols = spark.createDataFrame([symbol(1, path="lib/defaults.js", name="transformRequest", qualified_name="transformRequest", start_line=10, end_line=40), symbol(2, path="lib/http.js", name="dispatchHttp", qualified_name="dispatchHttp", start_line=20, end_line=60), symbol(3, path="lib/http.js", kind="module", name="http", qualified_name="http", start_line=1, end_line=90)], SYMBOLS)
+    chunks = spark.createDataFrame([chunk(1, "p", "lib/http.js", 15, "\n".join(["dispatch of FormData"] * 30)), chunk(2, "p", "test/utils.js", 1, "\n".join(["check"] * 9)), chunk(3, "p", "lib/far.js", 1, "x")], CHUNKS)
+    authority = spark.createDataFrame([("p", "lib/http.js", "code"), ("p", "test/utils.js", "test"), ("p", "lib/far.js", "code")], "project string, path string, authority string")
+    hits = spark.createDataFrame([hit(0, "lib/defaults.js", 10, 30), hit(1, "docs.md", authority="active")], HIT)
+    question = "How does the node adapter dispatch requests with FormData bodies?"
+    found = hints.relationship_hints(question, hits, symbols, edges, chunks, authority, 2)
+    got = [(r.path, r.via, r.from_path) for r in found.collect()]
+    assert got == [("lib/http.js", "isFormData", "lib/defaults.js"), ("test/utils.js", "isFormData", "lib/defaults.js")]
+    assert hints.relationship_hints("the of", hits, symbols, edges, chunks, authority).count() == 0
+    anchors = hints.anchor_relationships(hits, symbols, edges).collect()
+    assert [(r.path, r.symbol, r.calls) for r in anchors] == [("lib/defaults.js", "transformRequest", "isFormData,isBlob,isFile")]
+    c = hints.hit_contracts(hits, found, symbols, edges).collect()
+    assert [(r.anchor, r.related, r.shared, r.only_anchor, r.only_related) for r in c] == [("transformRequest", "dispatchHttp", "isFormData", "isBlob,isFile", "isStream")]
+    assert hints.hit_contracts(hits, found.where("path = 'x'"), symbols, edges).count() == 0
+
+
+def test_symbol_cards(spark):
+    """An exact definition wins over homonyms and longer names; relations of other files' homonyms are left out."""
+    symbols = spark.createDataFrame([symbol(1, path="a.ts", name="lock", qualified_name="Guest.lock"), symbol(2, path="b.ts", name="lock", qualified_name="Room.lock"), symbol(3, path="c.ts", name="lockAll", qualified_name="lockAll")], SYMBOLS)
+    edges = spark.createDataFrame([edge(k, source_path="a.ts", source_name="lock", source_qualified_name="Guest.lock", target_name=f"f{k}", line=k) for k in range(5)] + [edge(8, source_path="b.ts", source_name="lock", source_qualified_name="Room.lock", target_name="other"), edge(9, source_path="z.ts", source_name="user", target_name="lock", target_qualified_name="Guest.lock", target_path="a.ts")], EDGES)
+    rows = hints.symbol_card(symbols, edges, "guest.lock", 2).collect()
+    parts = {p: [r.name for r in rows if r.part == p] for p in {r.part for r in rows}}
+    assert parts["definition"] == ["Guest.lock"] and len(parts["call"]) == 5 and len(parts["outgoing"]) + len(parts.get("incoming", [])) == 2 and "other" not in parts["call"]
+    both = hints.symbol_card(symbols, edges, "lock", 50).collect()
+    assert {r.name for r in both if r.part == "definition"} == {"Guest.lock", "Room.lock"} and {r.name for r in both if r.part == "alternative"} == {"lockAll"}
+    assert {r.name for r in hints.symbol_card(symbols, edges, "lock", 50, "b.ts").collect() if r.part == "definition"} == {"Room.lock"}
+    assert hints.symbol_card(symbols, edges, "nobody", 5).count() == 0
+
+
+def test_index_follows_changes(spark, tmp_path):
+    from quernstone.operators import index
+    from quernstone.operators.lexical import bm25
+
+    old = spark.createDataFrame([chunk(1, "p", "same.ts", 1, "retry outbox"), chunk(2, "p", "gone.ts", 1, "retry gone"), chunk(3, "p", "n.ts", 1, None)], CHUNKS)
+    new = spark.createDataFrame([chunk(7, "p", "same.ts", 1, "retry outbox"), chunk(8, "p", "new.ts", 1, "retry retry fresh"), chunk(9, "p", "n.ts", 1, None)], CHUNKS)
+    now = index.changed_index(index.postings(old), old, new)
+    index.write_index(now, str(tmp_path / "i"))
+    stored = index.read_index(spark, str(tmp_path / "i"))
+    kept = new.withColumn("id", F.when(F.col("id") == 7, 1).when(F.col("id") == 9, 3).otherwise(F.col("id")))
+    want = {r.id: round(r.score, 9) for r in bm25(kept, ["retry", "fresh", "ts"]).collect()}
+    assert {r.id: round(r.score, 9) for r in index.search_index(stored, index.index_statistics(stored), ["retry", "fresh", "ts"]).collect()} == want and set(want) == {1, 3, 8}
+    with pytest.raises(ValueError):
+        index.search_index(stored, index.index_statistics(stored), [])
+    assert index.postings(old.limit(0)).count() == 0
