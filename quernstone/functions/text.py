@@ -92,10 +92,16 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def capped_frequency(text: Column, terms: list[str], cap: int = 4) -> Column:
-    """The sum over the terms of their occurrences in the lower-cased text, each counted ``cap`` times at most."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    total = F.lit(0)
-    for term in terms:
-        total = total + F.least(F.lit(cap), occurrences(low, term))
-    return total
+def capped_frequency(text: Column, terms: list[str], cap: int = 4, lowered: bool = False) -> Column:
+    """The sum over the terms of their occurrences in the lower-cased text, each counted ``cap`` times at most.
+
+    The text is lower-cased once: it comes along in an array of one, since an expression in a lambda is evaluated at each use.
+    """
+
+    def total(low: Column) -> Column:
+        out = F.lit(0)
+        for term in terms:
+            out = out + F.least(F.lit(cap), occurrences(low, term))
+        return out
+
+    return total(text) if lowered else F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), total)[0]

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 PLACE = ("project", "generation_id", "path", "source_path", "start_line", "line")
 
 
-def current_rows(df: DataFrame, repos: DataFrame) -> DataFrame:
+def published_rows(df: DataFrame, repos: DataFrame) -> DataFrame:
+    """Rows of df that belong to their project's published generation, repeated ones as often as they are there. No shuffle of df."""
+    pointers = repos.select("project", "generation_id").distinct()
+    return df.join(pointers, ["project", "generation_id"], "left_semi")
+
+
+def current_rows(df: DataFrame, repos: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Rows of df that belong to their project's published generation, once each; other rows and repeated rows are left out.
 
-    Of a table with ids, rows of one id and place are one row; of other tables, equal rows are. The key alone is grouped, so
-    columns that a query doesn't go on to use are neither shuffled nor read. A project that ``repos`` doesn't list, or a null
-    generation, has no current rows.
+    columns: the columns to keep, of which equal rows are one; so every use of a table in a plan shares one exchange. Without them, of
+    a table with ids rows of one id and place are one row, and only the columns that a query goes on to use are shuffled; of other
+    tables equal rows are one. A project that ``repos`` doesn't list, or a null generation, has no current rows.
     """
-    pointers = repos.select("project", "generation_id").distinct()
-    own = df.join(pointers, ["project", "generation_id"], "left_semi")
+    own = published_rows(df, repos)
+    if columns:
+        return own.select(*columns).distinct()
     return own.dropDuplicates(["id", *[c for c in PLACE if c in df.columns]]) if "id" in df.columns else own.distinct()
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quernstone.operators.classify import authority_of, reason_of
 from quernstone.operators.files import WHOLE, each_block, windows_by_block
 from quernstone.operators.graph import UNRESOLVED, latest_definitions, resolve_targets
+from quernstone.session import cut
 
 # What a definition, a call and a use of a table look like in SQL, and names that are none.
 SQL_DEFINITIONS = {
@@ -319,34 +320,45 @@ def _closing(masked: str, open_at: int) -> int:
     return len(masked)
 
 
-def _extract(what: int):
-    fields = [c.split() for c in (SYMBOLS, EDGES)[what].split(", ")]
-    kinds = [pa.int32() if kind == "int" else pa.string() for _, kind in fields]
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over files: a row per file with its symbols and its edges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in each_block(batches, WHOLE):
-            rows = [(project, path, *row) for project, path, _, _, text in blocks for row in (extract_sql(text) if path.lower().endswith(".sql") else extract_script(text, path))[what]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[name for name, _ in fields])
+    def kind(schema: str) -> pa.DataType:
+        return pa.list_(pa.struct([(name, pa.int32() if sort == "int" else pa.string()) for name, sort in (f.split() for f in schema.split(", ")[2:])]))
 
-    return run
+    names = [[f.split()[0] for f in schema.split(", ")[2:]] for schema in (SYMBOLS, EDGES)]
+    for blocks in each_block(batches, WHOLE):
+        rows = [(project, path, *[[dict(zip(names[k], row, strict=True)) for row in part] for k, part in enumerate(extract_sql(text) if path.lower().endswith(".sql") else extract_script(text, path))]) for project, path, _, _, text in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], kind(SYMBOLS)), pa.array([r[3] for r in rows], kind(EDGES))], names=["project", "path", "symbols", "edges"])
 
 
-def _sources(chunks: DataFrame) -> DataFrame:
-    # Owners, bindings and local names hold for a whole file, so its text comes in one piece, however many blocks it has.
-    return windows_by_block(chunks.where(F.col("path").rlike(r"(?i)\.(sql|tsx?|mts|cts|jsx?|mjs|cjs)$")), WHOLE)
+def extract_files(chunks: DataFrame) -> DataFrame:
+    """project, path, symbols, edges: what each SQL, TypeScript and JavaScript file of chunks holds, as arrays; others hold nothing.
 
+    Owners, bindings and local names hold for a whole file, so its text comes in one piece; a task holds a file at a time. Lines count
+    from 1 in the file. Null contents hold nothing.
+    """
+    sources = windows_by_block(chunks.where(F.col("path").rlike(r"(?i)\.(sql|tsx?|mts|cts|jsx?|mjs|cjs)$")), WHOLE)
+    array = lambda schema: "array<struct<" + ", ".join(": ".join(f.split()) for f in schema.split(", ")[2:]) + ">>"
+    return sources.mapInArrow(_both, f"project string, path string, symbols {array(SYMBOLS)}, edges {array(EDGES)}")
 
-def extract_symbols(chunks: DataFrame) -> DataFrame:
-    """Symbols of all SQL, TypeScript and JavaScript files of chunks; files of other endings and null contents hold none.
 
-    A task holds a file at a time, whole; lines count from 1 in the file. Nameless symbols are left out.
-    """
-    return _sources(chunks).mapInArrow(_extract(0), SYMBOLS).where("name <> ''")
+def extract_symbols(chunks: DataFrame) -> DataFrame:
+    """Symbols of all files of chunks; nameless ones are left out."""
+    return symbols_of(extract_files(chunks))
 
 
 def extract_edges(chunks: DataFrame) -> DataFrame:
-    """Edges out of all SQL, TypeScript and JavaScript files of chunks, before targets are resolved; those without a target are left out."""
-    return _sources(chunks).mapInArrow(_extract(1), EDGES).where("target_name <> ''")
+    """Edges out of all files of chunks, before targets are resolved; those without a target are left out."""
+    return edges_of(extract_files(chunks))
+
+
+def symbols_of(files: DataFrame) -> DataFrame:
+    return files.select("project", "path", F.explode("symbols").alias("s")).select("project", "path", "s.*").where("name <> ''")
+
+
+def edges_of(files: DataFrame) -> DataFrame:
+    return files.select("project", F.col("path").alias("source_path"), F.explode("edges").alias("e")).select("project", "source_path", "e.*").where("target_name <> ''")
 
 
 def import_base(source_path: Column, via: Column) -> Column:
@@ -389,11 +401,12 @@ def build_graph(chunks: DataFrame, generation: Column | None = None) -> dict[str
     """
     own = chunks.groupBy("project").agg(F.max("commit_hash").alias("commit_hash"), F.max("generation_id" if generation is None else generation).alias("generation_id"))
     files = chunks.select("project", "path").distinct()
-    symbols = extract_symbols(chunks).withColumn("active", F.lit(1))
+    found = cut(extract_files(chunks))  # read by both
+    symbols = symbols_of(found).withColumn("active", F.lit(1))
     symbols = symbols.withColumn("id", F.xxhash64("project", "path", "kind", "qualified_name", "start_line", "end_line", "signature")).dropDuplicates(["id"])
     latest = latest_definitions(symbols.where(F.col("path").rlike(r"(?i)\.sql$")), "").select("id", F.col("active").alias("newest"))
     symbols = symbols.join(latest, "id", "left").withColumn("active", F.coalesce("newest", "active")).drop("newest")
-    edges = resolved_edges(extract_edges(chunks), files)
+    edges = resolved_edges(edges_of(found), files)
     edges = edges.withColumn("id", F.xxhash64("project", "source_path", "source_qualified_name", "relation", "target_name", "target_qualified_name", "line", "metadata"))
     active = resolve_targets(edges, symbols).where("target_path is not null").select("id", F.col("target_path").alias("sql_path")).dropDuplicates(["id"])
     edges = edges.join(active, "id", "left").withColumn("resolution_confidence", F.when(F.col("sql_path").isNotNull(), "active_sql").otherwise(F.col("resolution_confidence"))).withColumn("target_path", F.coalesce("target_path", "sql_path")).drop("sql_path")

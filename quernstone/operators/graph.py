@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.session import cut
+
 # Relations that carry flow, and those whose target is a shared resource.
 FLOW_RELATIONS = ("calls", "imports", "calls_rpc", "invokes_edge_function", "reads_table", "writes_table", "accesses_table", "extends", "overrides")
 RESOURCE_RELATIONS = ("calls_rpc", "reads_table", "writes_table", "accesses_table")
@@ -85,10 +87,10 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """project, path, score: files reached from the seeds (project, path) in up to ``hops`` steps; the best way to a file counts.
 
     Outgoing steps score 62 - 12 d, incoming ones 58 - 12 d, d steps away, seeds 100. A frontier holds only files not seen
-    before, so the work is bounded by the links of the files reached.
+    before, so the work is bounded by the links of the files reached. Links and seeds enter every step: each is written once.
     """
-    links = file_neighbours(edges)
-    seen = seeds.select("project", "path").distinct().withColumn("score", F.lit(100))
+    links = cut(file_neighbours(edges))
+    seen = cut(seeds.select("project", "path").distinct()).withColumn("score", F.lit(100))
     frontier = seen.select("project", "path")
     for depth in range(1, hops + 1):
         score = F.when(F.col("outgoing"), 62 - 12 * (depth - 1)).otherwise(58 - 12 * (depth - 1))

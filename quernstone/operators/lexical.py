@@ -35,24 +35,15 @@ def weigh(tf: DataFrame, statistics: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """id, score: BM25 of the documents (id, path, content) that hold a term, over both fields with their weights.
 
-    Statistics are those of all of docs. Only occurrences of the terms leave the scan; document lengths are counted in place. A
-    null content counts as empty; no terms, or none found, give no rows.
+    Statistics are those of all of docs. Only a document's length and its occurrences of the terms leave the scan; rows repeated
+    in full count once, and no text is shuffled. A null content counts as empty; no terms, or none found, give no rows.
     """
     wanted = list(dict.fromkeys(terms)) or [""]
     fields = docs.select("id", tokens(F.coalesce("path", F.lit(""))).alias("p"), tokens(F.coalesce("content", F.lit(""))).alias("c"))
-    sized = fields.select("id", "p", "c", (F.size("p") + F.size("c")).alias("len"))
+    held = lambda column, weight: F.transform(F.filter(column, lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+    sized = fields.select("id", (F.size("p") + F.size("c")).alias("len"), F.concat(held("p", PATH_WEIGHT), held("c", CONTENT_WEIGHT)).alias("hits")).distinct()
     stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    hits = sized.select(
-        "id",
-        "len",
-        F.explode(
-            F.concat(
-                F.transform(F.filter("p", lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(PATH_WEIGHT).alias("w"))),
-                F.transform(F.filter("c", lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(CONTENT_WEIGHT).alias("w"))),
-            )
-        ).alias("h"),
-    )
-    tf = hits.groupBy("id", "len", F.col("h.term").alias("term")).agg(F.sum("h.w").alias("f"))
+    tf = sized.select("id", "len", F.explode("hits").alias("h")).groupBy("id", "len", F.col("h.term").alias("term")).agg(F.sum("h.w").alias("f"))
     return weigh(tf, stats)
 
 

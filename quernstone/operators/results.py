@@ -15,7 +15,7 @@ SNIPPET_LINES, SNIPPET_CHARS, MOST_HITS, MOST_PER_PATH = 14, 1800, 6, 2
 
 def best_lines(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """id, line, matches: of each chunk the first of the lines that hold the most occurrences of the terms (each capped at 4). No shuffle."""
-    scored = F.transform(F.split("content", "\n"), lambda text, i: F.struct(capped_frequency(text, terms).alias("matches"), (-i).alias("back")))
+    scored = F.transform(F.split(F.lower("content"), "\n"), lambda text, i: F.struct(capped_frequency(text, terms, lowered=True).alias("matches"), (-i).alias("back")))
     best = chunks.where("content is not null").select("id", "start_line", F.array_max(scored).alias("m"))
     return best.select("id", (F.col("start_line") - F.col("m.back")).cast("bigint").alias("line"), F.col("m.matches").cast("bigint").alias("matches"))
 

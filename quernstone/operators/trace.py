@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.graph import FLOW_RELATIONS, RESOURCE_RELATIONS, UNRESOLVED, bare_name
+from quernstone.session import cut
 
 # Scores of the reasons, how many files each yields, words that call for a role, and what makes an impact.
 EDGE_FUNCTION, OVERRIDE, RESOURCE_CONSUMER, SCHEDULER, LEXICAL_CONSUMER, GENERATED, INVOKER = 78, 72, 57, 60, 59, 50, 56
@@ -42,7 +43,8 @@ def walk(seeds: DataFrame, edges: DataFrame, files: DataFrame, terms: list[str],
     over extends and overrides are an inheritance_chain; an override of what a frontier's method, named by the question, calls is a
     dispatch_override_chain. files: project, path. Every file counts with its best reason of each kind.
     """
-    flow = edges.where(F.col("relation").isin(*FLOW_RELATIONS)).select("project", "source_path", "source_name", "relation", "target_name", "target_path", "target_qualified_name", "resolution_confidence")
+    # The edges enter every step and are written once.
+    flow = cut(edges.where(F.col("relation").isin(*FLOW_RELATIONS)).select("project", "source_path", "source_name", "relation", "target_name", "target_path", "target_qualified_name", "resolution_confidence"))
     places = files.where(F.col("path").rlike(r"(^|/)functions/[^/]+/index\.(ts|js)$")).select("project", "path", F.regexp_extract("path", r"functions/([^/]+)/index\.", 1).alias("target_name")).distinct()
     seen = seeds.select("project", "path").distinct()
     frontier, out = seen, []

@@ -53,7 +53,7 @@ def shared_name_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata as canonical objects, and how many edges have each."""
-    return _current(spark, folder, "edges").groupBy(metadata_object(F.col("metadata")).alias("metadata")).agg(F.count(F.lit(1)).alias("edges"))
+    return _current(spark, folder, "edges", "metadata").groupBy(metadata_object(F.col("metadata")).alias("metadata")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 def encoded_atlas(spark: SparkSession, folder: str) -> DataFrame:

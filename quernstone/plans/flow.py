@@ -13,7 +13,7 @@ from quernstone.operators.ledger import numbered, read_ranges
 from quernstone.operators.lexical import bm25
 from quernstone.operators.results import per_group
 from quernstone.plans.graph import _E, _LINKS, _S, NAME, RESOURCE, _current
-from quernstone.plans.retrieval import _AUTHORITY, _BM25, _CHUNKS, _LANE, _SEARCHABLE, TERMS
+from quernstone.plans.retrieval import _AUTHORITY, _BM25, _CHUNKS, _LANE, _SEARCHABLE, TERMS, _published
 from quernstone.tables import table
 
 FLOW_TERMS = affinity_terms(TERMS)
@@ -22,7 +22,7 @@ FLOW_TERMS = affinity_terms(TERMS)
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's three best files by the question, with their rank."""
     chunks = _current(spark, folder, "chunks")
-    hits = bm25(chunks, TERMS).withColumn("score", F.round("score", 5)).join(chunks.select("id", "project", "path"), "id")
+    hits = bm25(_published(spark, folder), TERMS).withColumn("score", F.round("score", 5)).join(chunks.select("id", "project", "path"), "id")
     best = hits.groupBy("project", "path").agg(F.max("score").alias("score"))
     return per_group(best, "project", 3, "path").select("project", "path", (F.col("place") - 1).alias("rank"))
 

@@ -30,14 +30,15 @@ from quernstone.operators.graph import (
 from quernstone.operators.publish import deduplicated_evidence, file_digests, generation_uniformity, publish_diff, purge_counts
 from quernstone.operators.results import similar_names
 from quernstone.plans.retrieval import _CHUNKS, _CUR, _LANE
-from quernstone.tables import table
+from quernstone.tables import LIGHT, table
 
 CALLEE, RESOURCE, NAME, OPERATIONS = "hasQuota", "validate", "publish", ("insert", "update", "upsert", "delete")
 FACETS = {"costs": ("cost", "coste", "kosten"), "overtime": ("overtime", "überstunden"), "coverage": ("coverage", "cobertura"), "shifts": ("shift", "turno", "schicht"), "quotas": ("quota", "cuota"), "vouchers": ("voucher",)}
 
 
-def _current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return current_rows(table(spark, folder, name), table(spark, folder, "repos"))
+def _current(spark: SparkSession, folder: str, name: str, *more: str) -> DataFrame:
+    """Current rows of a table; of graph tables the light columns and those named."""
+    return current_rows(table(spark, folder, name), table(spark, folder, "repos"), (*LIGHT[name], *more) if name in LIGHT else ())
 
 
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,13 +120,13 @@ def reverse_dependency_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, folder: str) -> DataFrame:
-    return operation_edges(_current(spark, folder, "edges"), OPERATIONS).groupBy("project", "target_name").agg(F.count(F.lit(1)).alias("writes"))
+    return operation_edges(_current(spark, folder, "edges", "metadata"), OPERATIONS).groupBy("project", "target_name").agg(F.count(F.lit(1)).alias("writes"))
 
 
 def metadata_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """How many edges hold valid JSON metadata; what is no JSON counts as raw text."""
     valid = F.try_parse_json("metadata").isNotNull()
-    return _current(spark, folder, "edges").groupBy(F.when(F.col("metadata").isNull(), "none").when(valid, "json").otherwise("raw").alias("form")).agg(F.count(F.lit(1)).alias("edges"))
+    return _current(spark, folder, "edges", "metadata").groupBy(F.when(F.col("metadata").isNull(), "none").when(valid, "json").otherwise("raw").alias("form")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 def facets(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from quernstone.session import cut
 
 
 def graph_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return publish.graph_digests(_current(spark, folder, "edges"), _current(spark, folder, "symbols"))
+    return publish.graph_digests(_current(spark, folder, "edges", "metadata"), _current(spark, folder, "symbols", "metadata"))
 
 
 def project_digest(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import INTENTS, active_intents, capped_frequency, query_terms, tokens
 from quernstone.operators.chunking import line_windows, token_estimate
 from quernstone.operators.classify import EXTENSIONS, SECRET, SKIP_FOLDERS, SKIP_NAMES, authority_of, is_indexable_path, is_safe_path, is_searchable, is_secret_path, reason_of
-from quernstone.operators.current import current_rows, stale_counts
+from quernstone.operators.current import current_rows, published_rows, stale_counts
 from quernstone.operators.fusion import reciprocal_ranks, rerank, retrieval_multiplier
 from quernstone.operators.graph import lane_of
 from quernstone.operators.lexical import bm25, token_frequencies, top_hits
 from quernstone.operators.results import best_lines, diverse_hits, first_per_path, pack, per_group, snippets
 from quernstone.operators.vector import backlog, dot, exact_top, semantic_status, usable
-from quernstone.tables import table
+from quernstone.tables import LIGHT, table
 
 QUESTION = "Where does the retry worker handle a provider failure, and which constraint keeps a duplicate booking out?"
 TERMS = query_terms(QUESTION)
@@ -24,7 +24,12 @@ MODEL, SIZE, OVERLAP, POOL, TOP = "mini-text-a", 8, 2, 30, 12
 
 
 def _current(spark: SparkSession, folder: str, name: str = "chunks") -> DataFrame:
-    return current_rows(table(spark, folder, name), table(spark, folder, "repos"))
+    return current_rows(table(spark, folder, name), table(spark, folder, "repos"), LIGHT.get(name, ()))
+
+
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    """Current chunk rows, repeated ones as often as they are there: for what counts equal rows once by itself."""
+    return published_rows(table(spark, folder, "chunks"), table(spark, folder, "repos"))
 
 
 def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,18 +51,18 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return top_hits(bm25(_current(spark, folder), TERMS), POOL, "id")
+    return top_hits(bm25(_published(spark, folder), TERMS), POOL, "id")
 
 
 def bm25_by_project(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _current(spark, folder)
-    scored = bm25(chunks, TERMS).withColumn("score", F.round("score", 5)).join(chunks.select("id", "project"), "id")
+    scored = bm25(_published(spark, folder), TERMS).withColumn("score", F.round("score", 5)).join(chunks.select("id", "project"), "id")
     return per_group(scored, "project", 3, "id").select("project", "id", "score", F.col("place").cast("bigint").alias("place"))
 
 
 def searchable_topk(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _current(spark, folder)
-    scored = bm25(chunks, TERMS).join(chunks.select("id", "path"), "id").where(is_searchable(authority_of(F.col("path")))).select("id", "score")
+    scored = bm25(_published(spark, folder), TERMS).join(chunks.select("id", "path"), "id").where(is_searchable(authority_of(F.col("path")))).select("id", "score")
     return top_hits(scored, POOL, "id")
 
 
@@ -126,8 +131,8 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _current(spark, folder)
-    hits = chunks.join(F.broadcast(_fused(spark, folder).withColumnRenamed("score", "fused")), "id")  # two top lists: 2 * POOL rows
+    # Two top lists, 2 * POOL rows; repeated rows of these alone are made one.
+    hits = _published(spark, folder).join(F.broadcast(_fused(spark, folder).withColumnRenamed("score", "fused")), "id").dropDuplicates(["id"])
     authority = authority_of(F.col("path"))
     score = F.col("fused") * retrieval_multiplier(QUESTION, F.col("path"), F.coalesce("content", F.lit("")), authority)
     return hits.where(is_searchable(authority)).select("id", "project", "path", "start_line", "end_line", "content", authority.alias("authority"), F.round(score, 6).alias("score"))
@@ -165,8 +170,7 @@ def best_chunk_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _current(spark, folder)
-    return bm25(chunks, TERMS).withColumn("score", F.round("score", 5)).join(chunks, "id")
+    return bm25(_published(spark, folder), TERMS).withColumn("score", F.round("score", 5)).join(_current(spark, folder), "id")
 
 
 def diverse_first_pass(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,9 +74,10 @@ def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(files of each project's flow with lane, authority, kinds and roles; the reasons of them)."""
-    edges, symbols, chunks = (_current(spark, folder, name) for name in ("edges", "symbols", "chunks"))
+    # The tables enter many branches: each is written once.
+    edges, symbols, texts = cut(_current(spark, folder, "edges", "metadata")), cut(_current(spark, folder, "symbols")), cut(_texts(spark, folder))
     seeds = cut(_seeds(spark, folder))
-    found = cut(trace.all_reasons(reasons(seeds, edges, symbols, chunks, TERMS), seeds, edges, symbols, _texts(spark, folder), _listed(spark, folder), TERMS))
+    found = cut(trace.all_reasons(reasons(seeds, edges, symbols, texts, TERMS), seeds, edges, symbols, texts, _listed(spark, folder), TERMS))
     files = rank_flow(files_of_flow(found)).select("project", "path", "score", "lane", "place")
     kinds = found.groupBy("project", "path").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     own = files.join(kinds, ["project", "path"]).withColumn("authority", authority_of(F.col("path")))
@@ -86,7 +87,7 @@ def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def evidence_roles(spark: SparkSession, folder: str) -> DataFrame:
     """Roles of all files that hold edges."""
-    edges = _current(spark, folder, "edges")
+    edges = _current(spark, folder, "edges", "metadata")
     files = edges.select("project", F.col("source_path").alias("path")).distinct().withColumn("authority", authority_of(F.col("path")))
     return trace.file_roles(files, edges, ASKED)
 
@@ -107,9 +108,9 @@ def investigation(spark: SparkSession, folder: str) -> DataFrame:
 def flow_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
     """The shape, warnings and quality of each project's flow."""
     evidence, found = _evidence(spark, folder)
-    edges, symbols, chunks = (_current(spark, folder, name) for name in ("edges", "symbols", "chunks"))
+    edges, symbols, chunks = cut(_current(spark, folder, "edges")), cut(_current(spark, folder, "symbols")), cut(_texts(spark, folder))
     names = cut(trace.relevant_procedures(_procedures(spark, folder), edges, ["booking", "retry"]))
-    used = trace.consumers(names, _texts(spark, folder)).groupBy("project").agg(F.count_distinct("path").alias("consumers"))
+    used = trace.consumers(names, chunks).groupBy("project").agg(F.count_distinct("path").alias("consumers"))
     lines = lineage_of(symbols, chunks, names)
     missing = names.join(lines.select("project", "name"), ["project", "name"], "left_anti").groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("lineage_missing"))
     entries = lines.groupBy("project").agg(F.count(F.lit(1)).alias("lineage_entries"))

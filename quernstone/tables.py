@@ -23,6 +23,13 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 EVAL_ITEMS = "item_id bigint, suite string, lang string, text string"
 
 
+#: The columns of graph tables that questions ask for; the others are long and seldom used.
+LIGHT = {
+    "edges": ("id", "project", "source_path", "source_name", "relation", "target_name", "target_path", "line", "source_qualified_name", "target_qualified_name", "resolution_confidence"),
+    "symbols": ("id", "project", "path", "kind", "name", "qualified_name", "start_line", "end_line", "active"),
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables, whole."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
