@@ -43,7 +43,8 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     held = lambda column, weight: F.transform(F.filter(column, lambda t: t.isin(*wanted)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
     sized = fields.select("id", (F.size("p") + F.size("c")).alias("len"), F.concat(held("p", PATH_WEIGHT), held("c", CONTENT_WEIGHT)).alias("hits")).distinct()
     stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = sized.select("id", "len", F.explode("hits").alias("h")).groupBy("id", "len", F.col("h.term").alias("term")).agg(F.sum("h.w").alias("f"))
+    # explode_outer infers no filter on the rows below it, so the statistics and the hits share one exchange.
+    tf = sized.select("id", "len", F.explode_outer("hits").alias("h")).where("h is not null").groupBy("id", "len", F.col("h.term").alias("term")).agg(F.sum("h.w").alias("f"))
     return weigh(tf, stats)
 
 

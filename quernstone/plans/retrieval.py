@@ -16,6 +16,7 @@ from quernstone.operators.graph import lane_of
 from quernstone.operators.lexical import bm25, token_frequencies, top_hits
 from quernstone.operators.results import best_lines, diverse_hits, first_per_path, pack, per_group, snippets
 from quernstone.operators.vector import backlog, dot, exact_top, semantic_status, usable
+from quernstone.session import spread
 from quernstone.tables import LIGHT, table
 
 QUESTION = "Where does the retry worker handle a provider failure, and which constraint keeps a duplicate booking out?"
@@ -29,7 +30,7 @@ def _current(spark: SparkSession, folder: str, name: str = "chunks") -> DataFram
 
 def _published(spark: SparkSession, folder: str) -> DataFrame:
     """Current chunk rows, repeated ones as often as they are there: for what counts equal rows once by itself."""
-    return published_rows(table(spark, folder, "chunks"), table(spark, folder, "repos"))
+    return published_rows(spread(table(spark, folder, "chunks")), table(spark, folder, "repos"))
 
 
 def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
