@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import spread
+
 #: Where the tokenizers' files are, unless a caller gives another folder.
 FOLDER = "/opt/tokenizers"
 #: The word pattern that goes with the byte-level vocabularies.
@@ -131,5 +133,5 @@ def encode_texts(df: DataFrame, key: str | Column = "doc_id", text: str | Column
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     key, text = (F.col(x) if isinstance(x, str) else x for x in (key, text))
-    rows = df.select(key.alias("doc_id"), text.cast("string").alias("text"))
+    rows = spread(df.select(key.alias("doc_id"), text.cast("string").alias("text")))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

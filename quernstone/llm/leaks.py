@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut
+from quernstone.session import cut, spread
 
 #: Consecutive words that make a passage, words of a pattern, words of an item's part, bytes of item text that one automaton may hold.
 PASSAGE_WORDS, ANCHOR, PART_WORDS, ITEM_BYTES = 12, 6, 200_000, 4_000_000
@@ -175,7 +175,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = PASSAGE
     own = cut(own.groupBy("item_id", "words").agg(F.lit(1).alias("one")).select("item_id", "words"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("b")).first()["b"]
     blocks = -(-int(size) * 2 // item_bytes) if size > item_bytes else 1
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = spread(documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null"))
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id bigint, passage_start int, passage_end int, passage_words int"
     out = None
     for block in range(blocks):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut
+from quernstone.session import cut, spread
 
 #: Words of a shingle, least similarity of near-duplicates, SimHash bits.
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
@@ -352,7 +352,7 @@ def find_residue(documents: DataFrame) -> DataFrame:
     spread, since a text with the value filled in is a good near-duplicate. A text in which several rules hold takes the
     first kind in the order given. An empty table gives no rows; other columns are ignored.
     """
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null and length(trim(text)) > 0")
+    texts = spread(documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null and length(trim(text)) > 0"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     seen = cut(texts.mapInArrow(_describe(key_bits(documents.count())), f"doc_id {kind}, kind string, core binary, shingles int, bits array<bigint>, keys array<bigint>"))
     # One representative per text but for its numbers, so that copies and fillings of one form make no pairs.
@@ -386,6 +386,6 @@ def find_residue(documents: DataFrame) -> DataFrame:
         labelled = cut(labelled.unionByName(frontier))
     own = seen.where("kind is not null").select("doc_id", "kind", F.lit(False).alias("spread"))
     # A copy in other case, spacing or numbers has its class's label, as every text that a label reached.
-    spread = seen.where("kind is null").select("doc_id", "core").join(labelled, "core").select("doc_id", "kind", F.lit(True).alias("spread"))
+    reached = seen.where("kind is null").select("doc_id", "core").join(labelled, "core").select("doc_id", "kind", F.lit(True).alias("spread"))
     rank = F.when(F.col("kind") == "placeholder", 0).when(F.col("kind") == "filler", 1).otherwise(2)
-    return own.unionByName(spread).groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"), F.min("spread").alias("spread"))
+    return own.unionByName(reached).groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"), F.min("spread").alias("spread"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.files import WHOLE, each_block, join_windows, windows_by_block
+from quernstone.session import spread
 
 #: Unexplained characters of a literal that make a secret by themselves, and where the context names a secret.
 REST_ALONE, REST_NAMED = 14, 5
@@ -109,7 +110,8 @@ def words_of(chunks: DataFrame) -> dict[str, int]:
     A secret's random letters don't recur in several projects, its words do. All chunks count; copies of a chunk count once.
     """
     low, high = WORD_LETTERS
-    texts = chunks.where("content is not null and project is not null").select("project", F.xxhash64("content").alias("text"), F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(rf"[A-Za-z][a-z]{{{low - 1},{high - 1}}}(?![a-z])"), F.lit(0)), F.lower)).alias("words"))
+    own = spread(chunks.where("content is not null and project is not null").select("project", "content"))
+    texts = own.select("project", F.xxhash64("content").alias("text"), F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(rf"[A-Za-z][a-z]{{{low - 1},{high - 1}}}(?![a-z])"), F.lit(0)), F.lower)).alias("words"))
     held = texts.select("project", "text", F.explode("words").alias("word")).groupBy("word", "project").agg(F.approx_count_distinct("text", 0.1).alias("n"))
     common = held.groupBy("word").agg(F.count(F.lit(1)).alias("projects"), F.sum("n").alias("n")).where(F.col("projects") >= WORD_PROJECTS)
     rows = common.orderBy(F.desc("projects"), F.desc("n"), "word").limit(MOST_WORDS).collect()
