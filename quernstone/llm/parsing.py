@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ from quernstone.llm.grammar_sql import Sql
 from quernstone.llm.lexing import CODE, STATES, lex
 from quernstone.operators.files import BLOCK_LINES, each_block, windows_by_block
 
+#: Calls that may be open while a text is parsed: enough for some thousand nested brackets.
+DEPTH = 20_000
 LANGUAGES = {"ts": "ts", "tsx": "tsx", "js": "js", "mjs": "js", "py": "py", "sql": "sql", "go": "go", "json": "json"}
 _LEXER = {"ts": "js", "tsx": "js", "js": "js", "py": "py", "sql": "sql", "go": "go"}
 _CONFLICT = re.compile(r"^(?:<{7} |>{7} |={7}$)", re.M)
@@ -86,6 +89,7 @@ def _python(text: str) -> bool:
 @lru_cache(maxsize=1)
 def _checks() -> dict:
     """The grammars, with what they have seen, of this worker."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
     return {"ts": Js(True, False).check, "tsx": Js(True, True).check, "js": Js(False, True).check, "go": Go().check, "sql": Sql().check, "json": folds_to_value, "py": Py().check}
 
 

@@ -638,3 +638,10 @@ def test_p7_python_and_json_by_shapes():
         s = [s[:at] + s[at + 1 :], s[:at] + r.choice("[]{}:,\"\\ 0-.eE\x01tnul") + s[at:], s[:at], s][r.randrange(4)]
         assert parsing.folds_to_value(s) == parsing._json(s), s
     assert parsing.folds_to_value("[" * 5000 + "]" * 5000) and not parsing.folds_to_value("[" * 5000 + "]" * 4999)
+
+
+def test_p7_deep_nesting():
+    for n in (200, 400, 1500):
+        for lang, text in (("ts", f"const x = {'(' * n}1{')' * n};\n"), ("js", f"const x = {'[' * n}1{']' * n};\n"), ("go", f"package p\n\nvar x = {'(' * n}1{')' * n}\n"), ("json", "[" * n + "1" + "]" * n), ("sql", f"select {'(' * n}1{')' * n};\n")):
+            assert parsing.is_valid(text, lang), (n, lang)
+    assert not parsing.is_valid(f"const x = {'(' * 400}1 +{')' * 400};\n", "ts")
