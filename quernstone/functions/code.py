@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 DOCUMENT_CHARS, RERANK_CHARS, SNIPPET_HALF = 16_000, 32_000, 24
 # Words that say nothing about which file a question means.
-AFFINITY_IGNORED = frozenset("affected behavior change code every find fix identify implementation investigate production regression repository should test when while with".split())
+AFFINITY_IGNORED = (
+    "affected", "behavior", "change", "code", "every", "find", "fix", "identify", "implementation", "investigate", "production", "regression", "repository", "should", "test", "when", "while", "with",
+)
 
 
 def singular(token: str) -> str:

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_-]+"
 
 # What a query's words are read as, and what they leave out.
-STOP_WORDS = frozenset("a al and como con cual de del donde el en es esta este for how la las lo los of o para por que se the to un una y".split())
-NOISE_WORDS = frozenset("adjacent applicable best-located complete especially existing including relevant trace versus where encuentra identifica incluye investiga revisa".split())
+STOP_WORDS = (
+    "a", "al", "and", "como", "con", "cual", "de", "del", "donde", "el", "en", "es", "esta", "este", "for", "how", "la", "las", "lo", "los", "of", "o", "para", "por", "que", "se", "the", "to", "un",
+    "una", "y",
+)
+NOISE_WORDS = (
+    "adjacent", "applicable", "best-located", "complete", "especially", "existing", "including", "relevant", "trace", "versus", "where", "encuentra", "identifica", "incluye", "investiga", "revisa",
+)
 EXPANSIONS = {
     "ausencia": ("absence", "absences"),
     "ausencias": ("absence", "absences"),
@@ -29,11 +34,11 @@ EXPANSIONS = {
 }
 #: intent: (what triggers it, the terms it stands for), in order.
 INTENTS = {
-    "reliability": ("fallo falla failed failure timeout conexion connection respuesta response".split(), "retry reconcile idempotency idempotent command outbox dead_letter last_attempt error".split()),
-    "duplicate": (["duplic", "repet", "twice", "again", "otra vez", "reint"], "unique idempotency existing conflict lock claim compare reservation".split()),
-    "external_write": ("proveedor provider extern third-party remote upstream webhook ack".split(), "external command sync ack booking projection reconcile worker".split()),
-    "database_guarantee": ("garantia garant constraint restric race carrera concurrent".split(), "unique transaction advisory lock conflict migration index".split()),
-    "tests": ("test prueba spec coverage cobertura".split(), "test spec assert fixture mock".split()),
+    "reliability": (("fallo", "falla", "failed", "failure", "timeout", "conexion", "connection", "respuesta", "response"), ("retry", "reconcile", "idempotency", "idempotent", "command", "outbox", "dead_letter", "last_attempt", "error")),
+    "duplicate": (("duplic", "repet", "twice", "again", "otra vez", "reint"), ("unique", "idempotency", "existing", "conflict", "lock", "claim", "compare", "reservation")),
+    "external_write": (("proveedor", "provider", "extern", "third-party", "remote", "upstream", "webhook", "ack"), ("external", "command", "sync", "ack", "booking", "projection", "reconcile", "worker")),
+    "database_guarantee": (("garantia", "garant", "constraint", "restric", "race", "carrera", "concurrent"), ("unique", "transaction", "advisory", "lock", "conflict", "migration", "index")),
+    "tests": (("test", "prueba", "spec", "coverage", "cobertura"), ("test", "spec", "assert", "fixture", "mock")),
 }
 MOST_TERMS = 48
 

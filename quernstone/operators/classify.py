@@ -10,9 +10,10 @@ SEARCHABLE = ("code", "test", "schema_history", "generated", "config")
 WEIGHTS = {"test": 1.60, "code": 1.50, "schema_history": 1.35, "canonical": 1.10, "config": 0.80, "generated": 0.70, "active": 0.55, "historical": 0.30}
 UNKNOWN_WEIGHT = 1.0
 EXTENSIONS = (
-    ".bash .c .cc .cjs .conf .cpp .cs .css .csv .cts .dart .env.example .ex .exs .fs .fsx .go .gradle .graphql .groovy .h .html .java .js .json .jsx .kt .kts .lua .md .mjs .mts .php .pl .proto .py .rb .rs .rst "
-    ".scala .scss .sh .sql .svelte .swift .toml .ts .tsx .txt .vue .xml .yaml .yml .zsh"
-).split()
+    ".bash", ".c", ".cc", ".cjs", ".conf", ".cpp", ".cs", ".css", ".csv", ".cts", ".dart", ".env.example", ".ex", ".exs", ".fs", ".fsx", ".go", ".gradle", ".graphql", ".groovy", ".h", ".html", ".java",
+    ".js", ".json", ".jsx", ".kt", ".kts", ".lua", ".md", ".mjs", ".mts", ".php", ".pl", ".proto", ".py", ".rb", ".rs", ".rst", ".scala", ".scss", ".sh", ".sql", ".svelte", ".swift", ".toml", ".ts",
+    ".tsx", ".txt", ".vue", ".xml", ".yaml", ".yml", ".zsh",
+)
 SKIP_NAMES = ("package-lock.json", "bun.lock", "bun.lockb", "deno.lock")
 SKIP_FOLDERS = ("node_modules", "dist", "build", "coverage", ".git")
 MOST_BYTES = 1_500_000

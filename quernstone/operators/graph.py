@@ -21,6 +21,21 @@ def bare_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"^public\.", "")
 
 
+#: Lines of a bin: what lies in some lines meets only what reaches into the same bin.
+BIN = 256
+
+
+def within_lines(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """spans (project, path, start_line, end_line, ...) with the points (project, path, line, ...) that lie in them.
+
+    Both meet by file and bin of lines, so a file of many spans and points doesn't pair all of them. Spans without lines hold nothing.
+    """
+    own = spans.where("start_line is not null and end_line >= start_line")
+    binned = own.withColumn("__bin", F.explode(F.sequence((F.col("start_line") / BIN).cast("int"), (F.col("end_line") / BIN).cast("int"))))
+    at = points.withColumn("__bin", (F.col("line") / BIN).cast("int"))
+    return binned.join(at, ["project", "path", "__bin"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("__bin")
+
+
 def latest_definitions(symbols: DataFrame, prefix: str) -> DataFrame:
     """The symbols under a folder of dated scripts, with active 1 for the newest of each name and 0 for the others; tables keep their flag.
 
@@ -62,7 +77,7 @@ def callers_with_chunks(edges: DataFrame, chunks: DataFrame, target: str) -> Dat
     """edge_id, chunk_id: resolved calls of a target, with the chunks whose lines hold the call."""
     calls = edges.where((F.col("relation") == "calls") & (F.col("target_name") == target) & (F.col("resolution_confidence") != UNRESOLVED)).select(F.col("id").alias("edge_id"), "project", F.col("source_path").alias("path"), "line")
     held = chunks.select(F.col("id").alias("chunk_id"), "project", "path", "start_line", "end_line")
-    return calls.join(held, ["project", "path"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("edge_id", "chunk_id")
+    return within_lines(held, calls).select("edge_id", "chunk_id")
 
 
 def lookup(symbols: DataFrame, authority: DataFrame, name: str, limit: int) -> DataFrame:
@@ -121,7 +136,7 @@ def anchor_calls(edges: DataFrame, symbols: DataFrame, least: int = 2) -> DataFr
     """symbol_id, name, callees: of each function or method the distinct names it calls within its lines, joined in order of name; at least ``least``."""
     owners = symbols.where(F.col("kind").isin("function", "method", "hook", "component")).select(F.col("id").alias("symbol_id"), "project", "path", "name", "start_line", "end_line")
     calls = edges.where(F.col("relation") == "calls").select("project", F.col("source_path").alias("path"), "line", "target_name")
-    held = owners.join(calls, ["project", "path"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("symbol_id", "name", "target_name").distinct()
+    held = within_lines(owners, calls).select("symbol_id", "name", "target_name").distinct()
     grouped = held.groupBy("symbol_id", "name").agg(F.array_sort(F.collect_list("target_name")).alias("callees"))
     return grouped.where(F.size("callees") >= least)
 
@@ -132,7 +147,10 @@ def contract_differences(edges: DataFrame, source: str = "source_qualified_name"
     sets = calls.where("source is not null").groupBy("project", "source_path", "source").agg(F.array_sort(F.collect_set("target_name")).alias("names"))
     left = sets.select("project", "source_path", F.col("source").alias("left_source"), F.col("names").alias("l"))
     right = sets.select("project", "source_path", F.col("source").alias("right_source"), F.col("names").alias("r"))
-    pairs = left.join(right, ["project", "source_path"]).where((F.col("left_source") < F.col("right_source")) & F.arrays_overlap("l", "r") & (F.col("l") != F.col("r")))
+    # Only sources that share a name meet.
+    one = lambda df, source, names: df.select("project", "source_path", source, F.explode(names).alias("name"))
+    meet = one(left, "left_source", "l").join(one(right, "right_source", "r"), ["project", "source_path", "name"]).where("left_source < right_source").select("project", "source_path", "left_source", "right_source").distinct()
+    pairs = meet.join(left, ["project", "source_path", "left_source"]).join(right, ["project", "source_path", "right_source"]).where(F.col("l") != F.col("r"))
     text = lambda a: F.array_join(F.array_sort(a), ",")
     return pairs.select("project", "source_path", "left_source", "right_source", text(F.array_intersect("l", "r")).alias("shared"), text(F.array_except("l", "r")).alias("only_left"), text(F.array_except("r", "l")).alias("only_right"))
 

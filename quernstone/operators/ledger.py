@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.classify import is_safe_path
+from quernstone.operators.graph import within_lines
 
 #: Bytes of a symbol that is opened whole, lines of a preview behind its first, lines around a call within a larger symbol.
 MOST_BYTES, PREVIEW_LINES, CALL_MARGIN = 100_000, 160, 80
@@ -76,8 +77,8 @@ def _named(rows: DataFrame, snapshot: str) -> DataFrame:
 
 def containing(places: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     """key, qualified_name, s0, s1: of each place (key, project, path, line) the smallest active symbol with code that holds the line."""
-    own = symbols.where(F.col("kind").isin(*EXECUTABLE) & (F.col("active") == 1)).select("project", "path", "qualified_name", F.col("start_line").alias("s0"), F.col("end_line").alias("s1"))
-    held = places.select(key, "project", "path", "line").join(own, ["project", "path"]).where(F.col("line").between(F.col("s0"), F.col("s1")))
+    own = symbols.where(F.col("kind").isin(*EXECUTABLE) & (F.col("active") == 1)).select("project", "path", "qualified_name", "start_line", "end_line")
+    held = within_lines(own, places.select(key, "project", "path", "line")).withColumnsRenamed({"start_line": "s0", "end_line": "s1"})
     return held.groupBy(key).agg(F.min_by(F.struct("qualified_name", "s0", "s1"), F.struct((F.col("s1") - F.col("s0")).alias("size"), "s0", "qualified_name")).alias("s")).select(key, "s.*")
 
 

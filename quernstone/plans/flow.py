@@ -116,12 +116,6 @@ def graph_lines(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.select("id", line.alias("line")).unionByName(own.select("id", link.alias("line")))
 
 
-def graph_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest of each project's edges that doesn't depend on their order: counts and sums of row hashes add up across tasks."""
-    rows = _current(spark, folder, "edges").select("id", "project", F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "source_path", "relation", "target_name"), 256), 1, 12), 16, 10).cast("decimal(38,0)").alias("h")).distinct()
-    return rows.groupBy("project").agg(F.count(F.lit(1)).alias("edges"), F.sum("h").cast("string").alias("digest"))
-
-
 def anchor_authorities(spark: SparkSession, folder: str) -> DataFrame:
     """How seeds spread over authorities and lanes, with the share of the largest."""
     seeds = _seeds(spark, folder)
@@ -132,7 +126,7 @@ def anchor_authorities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    flow_reasons, flow_files, flow_ranked, neighbours_of_hits, symbol_view, name_homonyms, seed_symbols, path_affinity, embedding_documents, embedding_upserts, vector_cache_misses, citations, symbol_excerpts, graph_lines, graph_digest,
+    flow_reasons, flow_files, flow_ranked, neighbours_of_hits, symbol_view, name_homonyms, seed_symbols, path_affinity, embedding_documents, embedding_upserts, vector_cache_misses, citations, symbol_excerpts, graph_lines,
     anchor_authorities,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -176,6 +170,5 @@ ORACLE_SQL = {
     "citations": f"with {_CHUNKS} select id, project || ':' || path || ':' || start_line || '-' || end_line citation from cur where {_AUTHORITY.format(p='path')} in {_SEARCHABLE}",
     "symbol_excerpts": f"with {_CHUNKS}, {_S}, h as (select s.id symbol_id, s.start_line a, s.end_line b, greatest(coalesce(c.start_line, 1), 1) f, str_split(content, chr(10)) ls from s join cur c on c.project = s.project and c.path = s.path where kind <> 'module' and content is not null and c.start_line <= s.end_line), l as (select symbol_id, a, b, f, unnest(ls) x, generate_subscripts(ls, 1) + f - 1 ln from h where f + len(ls) - 1 >= a), o as (select symbol_id, a, b, ln, arg_min(x, (f, x)) x from l where ln between a and b group by all), t as (select symbol_id, any_value(b - a + 1) n, count(*) k, string_agg(ln || ': ' || x, chr(10) order by ln) x from o group by symbol_id) select symbol_id, length(x) characters, sha256(x) digest, (n - k)::bigint missing from t",
     "graph_lines": f"with {_E}, {_S}, f as (select distinct project, source_path path from e where target_name = '{RESOURCE}' and relation = 'writes_table') select id, concat_ws(' ', 'SYMBOL', kind, qualified_name, path || ':' || start_line || '-' || end_line) line from s semi join f using (project, path) union all select id, concat_ws(' ', 'EDGE', source_name, '-[' || relation || ']->', target_name, concat_ws(':', source_path, line::varchar)) from e semi join f on f.project = e.project and f.path = e.source_path",
-    "graph_digest": f"with {_E}, h as (select distinct id, project, ('0x' || left(sha256(concat_ws('|', id::varchar, source_path, relation, target_name)), 12))::bigint h from e) select project, count(*) edges, sum(h)::varchar digest from h group by project",
     "anchor_authorities": f"with {_SEED}, c as (select {_AUTHORITY.format(p='path')} authority, {_LANE} lane, count(*) seeds from seeds group by 1, 2) select authority, lane, seeds, round(seeds / (select sum(seeds) from c), 4) as share from c",
 }
