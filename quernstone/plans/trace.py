@@ -11,8 +11,10 @@ from quernstone.functions.code import affinity_terms
 from quernstone.functions.text import query_terms
 from quernstone.operators import trace
 from quernstone.operators.classify import authority_of
+from quernstone.operators.current import published_rows
 from quernstone.operators.flow import files_of_flow, rank_flow, reasons
 from quernstone.operators.graph import cache_key_audit, facet_coverage, lineage_of, reverse_dependencies_of
+from quernstone.operators.mentions import all_mentions
 from quernstone.plans.flow import _LINKS, _SEED, _seeds
 from quernstone.plans.graph import _E, FACETS, RESOURCE, _current
 from quernstone.plans.retrieval import _AUTHORITY, _CHUNKS, QUESTION
@@ -69,7 +71,7 @@ def rpc_consumers(spark: SparkSession, folder: str) -> DataFrame:
 def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Where code holds the names of procedures, by file."""
     names = _procedures(spark, folder).select("project", F.element_at(F.split("name", r"\."), -1).alias("name"))
-    return trace.mentions(_texts(spark, folder), names)
+    return all_mentions(published_rows(table(spark, folder, "chunks"), table(spark, folder, "repos")), names)
 
 
 def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
