@@ -17,7 +17,7 @@ from quernstone.operators.graph import cache_key_audit, facet_coverage, lineage_
 from quernstone.operators.mentions import all_mentions
 from quernstone.plans.flow import _LINKS, _SEED, _seeds
 from quernstone.plans.graph import _E, FACETS, RESOURCE, _current
-from quernstone.plans.retrieval import _AUTHORITY, _CHUNKS, QUESTION
+from quernstone.plans.retrieval import _AUTHORITY, _CHUNKS, _CUR, QUESTION
 from quernstone.session import cut
 from quernstone.tables import table
 
@@ -55,8 +55,12 @@ def overrides_by_content(spark: SparkSession, folder: str) -> DataFrame:
     return trace.override_chain(trace.resources_of(_writers(spark, folder), edges), scripts).select("project", "path", "score", "kind")
 
 
+def _functions(spark: SparkSession, folder: str) -> DataFrame:
+    return _current(spark, folder, "symbols").where("kind = 'function' and active = 1").select("project", F.coalesce("qualified_name", "name").alias("name"))
+
+
 def _procedures(spark: SparkSession, folder: str) -> DataFrame:
-    return _current(spark, folder, "symbols").where("kind = 'function' and active = 1").select("project", F.coalesce("qualified_name", "name").alias("name")).where(F.col("name").contains("booking") | F.col("name").contains("Booking")).distinct()
+    return _functions(spark, folder).where(F.col("name").contains("booking") | F.col("name").contains("Booking")).distinct()
 
 
 def relevant_rpcs(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,8 +73,8 @@ def rpc_consumers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Where code holds the names of procedures, by file."""
-    names = _procedures(spark, folder).select("project", F.element_at(F.split("name", r"\."), -1).alias("name"))
+    """Where texts hold the names of their project's procedures, by file: all procedures, whatever they are called."""
+    names = _functions(spark, folder).select("project", F.element_at(F.split("name", r"\."), -1).alias("name"))
     return all_mentions(published_rows(table(spark, folder, "chunks"), table(spark, folder, "repos")), names)
 
 
@@ -149,6 +153,7 @@ _WALK = f"""{_W}, fl as (select * from e where relation in {_FLOW}), pl as (sele
  bst as (select *, row_number() over (partition by project, path, kind order by score desc, depth, confidence desc) n from al)"""
 _RES = f"{_W}, rs as (select distinct e.project, regexp_extract({_BARE.format(x='target_name')}, '[^.]*$') r from e semi join sf on sf.project = e.project and sf.path = e.source_path where relation in ('calls_rpc','reads_table','writes_table','accesses_table'))"
 _PROC = "pr as (select distinct project, lower(regexp_extract(coalesce(qualified_name, name), '[^.]*$')) r from ({s}) s where kind = 'function' and active = 1 and (contains(coalesce(qualified_name, name), 'booking') or contains(coalesce(qualified_name, name), 'Booking')))".replace("{s}", "select distinct c.* from symbols c semi join repos p on c.project = p.project and c.generation_id = p.generation_id")
+_EVERY_PROC = f"pr as (select distinct project, lower(regexp_extract(coalesce(qualified_name, name), '[^.]*$')) r from ({_CUR.format(t='symbols')}) s where kind = 'function' and active = 1)"
 _MENTION = f"mn as (select cur.project, path, r as name, min(start_line) first_line, max(end_line) last_line from cur join pr on pr.project = cur.project and contains(lower(content), r) where content is not null and r <> '' group by all)"
 _JSON = "case when json_valid(metadata) then json_extract_string(metadata, '$.operation') end"
 ORACLE_SQL = {
@@ -157,6 +162,6 @@ ORACLE_SQL = {
     "overrides_by_content": f"with {_CHUNKS}, {_RES}, m as (select cur.project, path, r, row_number() over (partition by cur.project, r order by path desc) k from (select distinct project, path, lower(content) content from cur where ends_with(path, '.sql') and content is not null and (contains(lower(content), 'pg_get_functiondef') or contains(lower(content), 'create or replace function'))) cur join rs on rs.project = cur.project and contains(content, r) where r <> '' group by cur.project, path, r) select distinct project, path, 72 score, 'sql_override_chain' kind from m where k <= 6",
     "relevant_rpcs": f"with {_E}, {_PROC}, sh as (select * from pr where contains(r, 'booking') or contains(r, 'retry')), wr as (select distinct e.project, regexp_extract(lower(source_name), '[^.]*$') r from e semi join sh on sh.project = e.project and sh.r = {_BARE.format(x='e.target_name')} where relation = 'calls_sql'), bo as (select * from sh union select * from wr where contains(r, 'booking') or contains(r, 'retry')), cd as (select distinct project, {_BARE.format(x='target_name')} r from e where relation = 'calls_rpc') select bo.project, bo.r as name from bo left join cd on cd.project = bo.project and cd.r = bo.r where starts_with(bo.r, 'get_') or cd.r is not null",
     "rpc_consumers": f"""with {_CHUNKS}, {_PROC}, {_MENTION}, ky as (select distinct project, path, unnest(regexp_extract_all(content, '(?i)queryKey\\s*:\\s*\\[\\s*[''"]([^''"]+)[''"]', 1)) k from cur), kk as (select project, path, string_agg(k, ',' order by k) keys from ky group by all) select mn.project, name, path, coalesce(keys, '') keys from mn left join kk using (project, path) where {_AUTHORITY.format(p='path')} = 'code'""",
-    "name_mentions": f"with {_CHUNKS}, {_PROC}, {_MENTION} select * from mn",
+    "name_mentions": f"with {_CHUNKS}, {_EVERY_PROC}, {_MENTION} select * from mn",
     "evidence_roles": f"with {_E}, fs as (select distinct project, source_path path from e), o as (select project, source_path path, bool_or(relation = 'writes_table' or (relation = 'accesses_table' and coalesce({_JSON} in ('update', 'into', 'delete from'), false))) w, bool_or(relation in ('reads_table', 'accesses_table')) r, bool_or(relation = 'calls_rpc') c from e where relation in ('calls_rpc','reads_table','writes_table','accesses_table') group by all) select project, path, concat_ws(',', case when regexp_matches(lower(path), 'absence|workflow|status') then 'lifecycle' end, case when r then 'readers' end, case when c then 'rpc' end, case when {_AUTHORITY.format(p='path')} = 'schema_history' then 'sql' end, case when {_AUTHORITY.format(p='path')} = 'test' then 'tests' end, case when w then 'writers' end) roles from fs left join o using (project, path)",
 }
